@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import chat, decontamination, near_dedup, packing, secrets, token_store
+from kindred.llm import chat, decontamination, lm_scoring, near_dedup, packing, quality, secrets, token_store
 from kindred.llm.common import scratch
 
 
@@ -14,6 +14,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels")
+    return lm_scoring.score_documents(_read(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_read(spark, sf_dir, "documents"))
 
@@ -32,6 +37,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(spark, chat.with_probe(_read(spark, sf_dir, "conversations")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), ids=False)
 
@@ -41,10 +50,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_store": op3_token_store,
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_near_dedup": op10_near_dedup,
 }
