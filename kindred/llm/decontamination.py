@@ -215,11 +215,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return mark_contamination(docs.select("doc_id", "text"), benchmark).select("row.doc_id", *(c for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones; all other rows as they are."""
-    return mark_contamination(docs, benchmark).where(~F.col("contaminated")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
-
-
 def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
@@ -229,13 +224,16 @@ def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = [*(s["start"] for s in spans), len(text)]
                 text = "".join(text[a:z] for a, z in zip(ends, starts, strict=True))
             out.append(text)
-        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "clean"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("spans"), pa.array(out, pa.string())], ["row", "spans", "clean"])
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with every span of a contaminated document cut out of its ``text``."""
-    marked = mark_contamination(docs, benchmark)
-    spans = F.when(F.col("contaminated"), F.col("spans")).otherwise(F.array().cast(marked.schema["spans"].dataType))
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated documents, and with the spans of the others' occurrences
+    cut out of their ``text`` (``n_chars``, if there is such a column, is counted anew there)."""
+    marked = mark_contamination(docs, benchmark).where(~F.col("contaminated"))
     row = marked.schema["row"].dataType.simpleString()
-    clean = marked.select("row", spans.alias("spans")).mapInArrow(_without, f"row {row}, clean string")
-    return clean.select(*((F.col("clean") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    clean = marked.select("row", "spans").mapInArrow(_without, f"row {row}, spans array<struct<start:int,end:int>>, clean string")
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    return clean.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

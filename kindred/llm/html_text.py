@@ -36,7 +36,9 @@ _ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "option": (frozenset(["option"]), frozenset(["select"])),
     "body": (frozenset(["head"]), frozenset()),
 }
+_PARAGRAPH, _HEAD, _BODY = frozenset(["p"]), frozenset(["head"]), frozenset(["body"])
 _PARAGRAPH_SCOPE = frozenset(["td", "th", "table", "button", "caption", "html"])
+_IN_TABLE, _IN_CELL = frozenset(["table"]), frozenset(["td", "th", "table"])
 _ROW_GROUPS = frozenset(["thead", "tbody", "tfoot"])
 #: Elements may nest so deep; further ones hang there, as browsers do it.
 _DEEPEST = 200
@@ -61,6 +63,9 @@ class TreeBuilder(HTMLParser):
         self.root = Node("html", {})
         self.open = [self.root]
 
+    def updatepos(self, i: int, j: int) -> int:  # nobody asks for line numbers
+        return j
+
     def _close(self, tags: frozenset[str], scope: frozenset[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
@@ -78,9 +83,9 @@ class TreeBuilder(HTMLParser):
         if tag == "html":
             return
         if tag in _BLOCK:
-            self._close(frozenset(["p"]), _PARAGRAPH_SCOPE)
+            self._close(_PARAGRAPH, _PARAGRAPH_SCOPE)
         if tag in _BLOCK or tag in _ENDS:
-            self._close(frozenset(["head"]), frozenset(["body"]))
+            self._close(_HEAD, _BODY)
         if tag in _ENDS:
             self._close(*_ENDS[tag])
         top = self.open[-1].tag
@@ -102,7 +107,11 @@ class TreeBuilder(HTMLParser):
             return
         if tag in ("html", "body"):
             return
-        self._close(frozenset([tag]), frozenset(["td", "th", "table"]) - {tag} if tag not in ("tr", "table", *_ROW_GROUPS) else frozenset(["table"]) - {tag})
+        if self.open[-1].tag == tag and len(self.open) > 1:
+            self.open.pop()
+            return
+        scope = _IN_TABLE if tag in ("tr", "table", *_ROW_GROUPS) else _IN_CELL
+        self._close(frozenset([tag]), scope - {tag})
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and not data.isspace():
@@ -136,14 +145,15 @@ class _Lines:
                     self.parts.append(line)
             self.space = False
             return
-        for k, word in enumerate(_SPACE.split(text)):
-            if k:
-                self.space = True
-            if word:
-                if self.space and self.parts:
-                    self.parts.append(" ")
-                self.parts.append(word)
-                self.space = False
+        text = _SPACE.sub(" ", text)
+        word = text.strip(" ")
+        if word:
+            if self.parts and (self.space or text[0] == " "):
+                self.parts.append(" ")
+            self.parts.append(word)
+            self.space = text[-1] == " "
+        elif text:
+            self.space = True
 
     def end(self, always: bool = False) -> None:
         if self.parts or always:

@@ -267,6 +267,17 @@ def _join_up(least: float, percent: int):
     return run
 
 
+def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest doc_id; all its columns stay.
+
+    Of rows that repeat both a doc_id and a shingle set, one stays.
+    """
+    groups = find_groups(docs.select("doc_id", "text"), shingle, percent).where("kept")
+    ids = groups.select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id"]) if groups.count() > ids.count() else rows
+
+
 def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import chat, decontamination, lm_scoring, near_dedup, packing, quality, secrets, token_store
+from kindred.llm import chat, decontamination, html_text, lm_scoring, near_dedup, nearest, packing, quality, secrets, token_store
 from kindred.llm.common import scratch
 
 
@@ -41,6 +41,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.render_pages(_read(spark, sf_dir, "pages"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_read(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), ids=False)
 
@@ -56,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
+    "op7_html_text": op7_html_text,
+    "op8_nearest": op8_nearest,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_near_dedup": op10_near_dedup,
 }
