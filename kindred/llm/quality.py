@@ -23,8 +23,9 @@ from kindred.llm.decontamination import Words
 
 #: Labelled documents that the classifiers are fitted on at most: those with the smallest hashes.
 LABELLED = 20_000
-#: Telling words that a classifier keeps at most, and how telling they must be.
-LEXICON, LEAST_DOCS, LEAST_ODDS = 4_000, 4, 2.5
+#: Telling words that a classifier keeps at most, and how telling they must be: in log odds, and
+#: in nats of what their documents' labels say against the usual rate.
+LEXICON, LEAST_ODDS, SURPRISE = 4_000, 2.5, 8.5
 HEADS = ("low", "toxic")
 #: Paths up to which their table is broadcast (under 10 MB).
 BROADCAST_PATHS = 100_000
@@ -104,7 +105,10 @@ def _lexicon(words: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np
     yes = np.bincount(place, own, minlength=len(unique))
     no = np.bincount(place, 1 - own, minlength=len(unique))
     odds = np.log((yes + 0.25) / (label.sum() + 0.5)) - np.log((no + 0.25) / ((1 - label).sum() + 0.5))
-    keep = np.flatnonzero((yes >= LEAST_DOCS) & (odds >= LEAST_ODDS))
+    n, rate = yes + no, np.clip(label.mean(), 1e-6, 1 - 1e-6)
+    p = np.clip(yes / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+    surprise = n * (p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate)))
+    keep = np.flatnonzero((odds >= LEAST_ODDS) & (surprise >= SURPRISE))
     keep = np.sort(keep[np.argsort(-odds[keep] * yes[keep], kind="stable")][:LEXICON])
     return unique[keep], odds[keep]
 
@@ -135,7 +139,7 @@ def _train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, Head], dict[st
     picked = picked.groupBy("doc_id").agg(F.max("low").cast("double").alias("low"), F.max("toxic").cast("double").alias("toxic"))
     sample = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # a bounded table
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").select("text", *HEADS).mapInArrow(_labelled, "dense array<double>, words binary, low double, toxic double").limit(LABELLED).collect()
-    rows.sort(key=lambda r: (r["words"], r["dense"]))
+    rows = [r for _, r in sorted({(r["words"], *(r[h] for h in HEADS)): r for r in rows}.items())]  # copies count once
     words = [np.frombuffer(r["words"], np.int64) for r in rows]
     order = np.random.default_rng(7).permutation(len(rows))
     heads, rates = {}, {}
