@@ -7,8 +7,8 @@ corrected for chance collisions, estimate their similarity, and those near or ab
 are confirmed on full sets.
 
 Links are found in two steps, and only as many as the components need. First each class meets the
-pivot of its buckets that looks most similar. Then, in buckets that still hold more than one
-component, all pairs across components are examined, in blocks of a set size that different tasks
+pivot of its buckets that looks most similar, and both classes of every bucket of two meet. Then,
+in larger buckets that still hold more than one component, all pairs across components are examined, in blocks of a set size that different tasks
 take; a block reports the links that join components and no others.
 """
 
@@ -17,14 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe
-from kindred.llm.common import remove, scratch, ship, table
+from kindred.llm.common import ship, table
 from kindred.llm.graph import components
 
 ROWS, BANDS, BITS = 5, 40, 4
@@ -161,12 +160,12 @@ def _estimate(least: float):
             if b.num_rows:
                 s = similarity(_signatures(b.column("signature").to_pylist()), _signatures(b.column("pivot_signature").to_pylist()))
                 keep = pa.array(s >= least)
-                yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep), pa.array(s).filter(keep)], ["u", "v", "estimate"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).filter(keep) for c in ("u", "v", "n")), pa.array(s).filter(keep)], ["u", "v", "n", "estimate"])
 
     return run
 
 
-def _linked(a: set | np.ndarray, b: set | np.ndarray, percent: int) -> bool:
+def _linked(a: set[int], b: set[int], percent: int) -> bool:
     small, large = sorted((len(a), len(b)))
     if 100 * small < percent * large:
         return False
@@ -174,10 +173,6 @@ def _linked(a: set | np.ndarray, b: set | np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def _numbers(raw: bytes) -> set[int]:
-    return set(np.frombuffer(raw, np.uint64).tolist())
-
-
 def _confirm(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,10 +198,13 @@ def _sets(size: int):
     return run
 
 
-def _pairs(pdf: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(group: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the block that look similar and are of different components."""
-    sig, comp = _signatures(list(pdf["signature"])), pdf["component"].to_numpy()
-    side = pdf["block"].to_numpy()
+    comp = group.column("component").to_numpy()
+    if (comp == comp[0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sig = _signatures(group.column("signature").to_pylist())
+    side = group.column("block").to_numpy()
     across = side.min() != side.max()
     left, right = [], []
     for k in range(len(sig) - 1):
@@ -219,50 +217,93 @@ def _pairs(pdf: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of equal (band, i, j) of sorted batches; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy() for c in ("band", "i", "j")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[:, a])
+            if key != last and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+                held = []
+            held.append(b.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _sorted_by_group(df: DataFrame) -> DataFrame:
+    return df.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
 def _open(least: float):
     """The classes of a block that have a similar one in another component."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = _pairs(pdf, least)
-        return pdf.iloc[np.union1d(left, right)][["band", "i", "j", "class_id"]]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, ids = [], []
+        for group in _groups(batches):
+            if group.num_rows > 1:
+                left, right = _pairs(group, least)
+                if len(left):
+                    found = group.column("class_id").to_numpy()[np.union1d(left, right)]
+                    ids.append(found)
+                    bands.append(np.full(len(found), group.column("band")[0].as_py()))
+            if len(ids) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), pa.array(np.concatenate(ids))], ["band", "class_id"])
+                bands, ids = [], []
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), pa.array(np.concatenate(ids))], ["band", "class_id"])
 
     return run
 
 
+def _links(group: pa.RecordBatch, least: float, percent: int) -> list[tuple[int, int]]:
+    left, right = _pairs(group, least)
+    if not len(left):
+        return []
+    sig = _signatures(group.column("signature").to_pylist())
+    raw, ids, comp = group.column("shingles"), group.column("class_id").to_pylist(), group.column("component").to_pylist()
+    keys = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(group.num_rows, BANDS)
+    own = _mix(keys + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
+    here = int((own[left[0]] == group.column("band")[0].as_py()).argmax())
+    first = (own[left] == own[right]).argmax(axis=1) == here  # a pair is examined in the first band it shares
+    left, right = left[first], right[first]
+    by = np.argsort(-similarity(sig[left], sig[right]), kind="stable")
+    held: dict[int, set[int]] = {}
+    top: dict[int, int] = {}
+    links = []
+
+    def root(x: int) -> int:
+        while x in top:
+            x = top[x]
+        return x
+
+    def members(k: int) -> set[int]:
+        if k not in held:
+            held[k] = set(np.frombuffer(raw[k].as_buffer(), np.uint64).tolist())
+        return held[k]
+
+    for a, b in zip(left[by].tolist(), right[by].tolist(), strict=True):
+        x, y = root(comp[a]), root(comp[b])
+        if x != y and _linked(members(a), members(b), percent):
+            top[max(x, y)] = min(x, y)
+            links.append((ids[a], ids[b]))
+    return links
+
+
 def _join_up(least: float, percent: int):
     """Links of a block that join components: similar pairs first, none within what is joined."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = _pairs(pdf, least)
-        sig = _signatures(list(pdf["signature"]))
-        raw, ids, comp = list(pdf["shingles"]), pdf["class_id"].to_numpy(), pdf["component"].to_numpy()
-        keys = np.frombuffer(b"".join(pdf["bands"]), np.uint64).reshape(len(pdf), BANDS)
-        own = _mix(keys + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
-        held, top, links = {}, {}, []
-
-        def root(x: int) -> int:
-            while x in top:
-                x = top[x]
-            return x
-
-        def members(k: int) -> set[int]:
-            if k not in held:
-                held[k] = _numbers(raw[k])
-            return held[k]
-
-        if len(left):
-            band = pdf["band"].iloc[0]
-            same = own[left] == own[right]
-            here = own[left[:1]][0].tolist().index(band)
-            first = same.argmax(axis=1) == here  # a pair is examined in the first band it shares
-            left, right = left[first], right[first]
-            by = np.argsort(-similarity(sig[left], sig[right]), kind="stable")
-            for a, b in zip(left[by].tolist(), right[by].tolist(), strict=True):
-                x, y = root(comp[a]), root(comp[b])
-                if x != y and _linked(members(a), members(b), percent):
-                    top[max(x, y)] = min(x, y)
-                    links.append((ids[a], ids[b]))
-        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            if group.num_rows > 1 and (links := _links(group, least, percent)):
+                u, v = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -306,10 +347,10 @@ def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     shared = table(band_rows.join(buckets, "band"), "buckets")
 
     sig = classes.select(F.col("class_id").alias("u"), "signature")
-    star = shared.where("class_id <> pivot").select(F.col("class_id").alias("u"), F.col("pivot").alias("v")).distinct()
+    star = shared.where("class_id <> pivot").groupBy(F.col("class_id").alias("u"), F.col("pivot").alias("v")).agg(F.min("n").alias("n"))
     star = star.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("signature").alias("pivot_signature")), "v")
-    near = star.mapInArrow(_estimate(least), "u long, v long, estimate double")
-    best = near.groupBy("u").agg(F.max_by("v", "estimate").alias("v"))
+    near = table(star.mapInArrow(_estimate(least), "u long, v long, n long, estimate double"), "near")
+    best = near.groupBy("u").agg(F.max_by("v", "estimate").alias("v")).unionByName(near.where("n = 2").select("u", "v")).distinct()
 
     wanted = shared.select("class_id").distinct().join(classes.select("class_id", "digest", "min_doc"), "class_id")
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("min_doc"))).select("class_id", "digest", "text")
@@ -319,7 +360,7 @@ def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 
     joined = table(components(links), "joined")
     label = F.coalesce("component", "class_id")
-    marked = shared.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "band", "n", label.alias("component"))
+    marked = shared.where("n > 2").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "band", "n", label.alias("component"))
     mixed = marked.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band")
     left = marked.join(mixed, "band").join(classes.select("class_id", "signature"), "class_id")
 
@@ -331,11 +372,12 @@ def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 
     by_rows = F.ceil(F.col("n") / BLOCK_ROWS).cast("long")
     candidates = dealt(left, by_rows).select("band", "i", "j", "class_id", "component", "signature", "block")
-    open_rows = table(candidates.groupBy("band", "i", "j").applyInPandas(_open(least), "band long, i long, j long, class_id long").select("band", "class_id").distinct(), "open")
+    open_rows = table(_sorted_by_group(candidates).mapInArrow(_open(least), "band long, class_id long").distinct(), "open")
     still = open_rows.join(marked, ["band", "class_id"]).join(classes.select("class_id", "signature", "bands", "n_shingles"), "class_id")
     sizes = still.groupBy("band").agg(F.sum(F.col("n_shingles") * 8 + BLOCK_BYTES // BLOCK_ROWS).alias("bytes"))
     fine = dealt(still.join(sizes, "band"), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("long")).join(sets, "class_id")
-    more = fine.select("band", "i", "j", "class_id", "component", "signature", "bands", "block", "shingles").groupBy("band", "i", "j").applyInPandas(_join_up(least, percent), "u long, v long")
+    fine = _sorted_by_group(fine.select("band", "i", "j", "class_id", "component", "signature", "bands", "block", "shingles"))
+    more = fine.mapInArrow(_join_up(least, percent), "u long, v long")
     every = table(links.unionByName(more), "links")
     groups = components(every)
 
