@@ -146,7 +146,7 @@ def _search(slices: list, window: int, least: int):
                 held.clear()  # one slice at a time
                 held[k] = Phrases(slices[k].value, window)
                 if len(slices) > 1:
-                    slices[k].unpersist()
+                    slices[k].__dict__.pop("_value", None)  # the worker's copy; it can be loaded again
             return held[k]
 
         for block in bpe.blocks(batches, "text", SHARD_BYTES):

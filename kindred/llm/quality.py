@@ -27,6 +27,8 @@ LABELLED = 20_000
 #: in nats of what their documents' labels say against the usual rate.
 LEXICON, LEAST_ODDS, SURPRISE = 4_000, 2.5, 8.5
 HEADS = ("low", "toxic")
+#: The rate where there are no labels at all.
+UNTAUGHT = 0.05
 #: Paths up to which their table is broadcast (under 10 MB).
 BROADCAST_PATHS = 100_000
 
@@ -145,7 +147,7 @@ def _train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, Head], dict[st
     heads, rates = {}, {}
     for h in HEADS:
         label = np.array([rows[k][h] for k in order])
-        rates[h] = float(np.clip((label.sum() + 0.5) / (len(label) + 1), 1e-4, 1 - 1e-4))
+        rates[h] = float(np.clip((label.sum() + 0.5) / (len(label) + 1), 1e-4, 1 - 1e-4)) if len(label) else UNTAUGHT
         if 0 < label[::2].sum() < len(label[::2]) and 0 < label[1::2].sum() < len(label[1::2]):
             heads[h] = fit(np.array([rows[k]["dense"] for k in order]), [words[k] for k in order], label)
     return heads, rates
