@@ -314,8 +314,8 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     Of rows that repeat both a doc_id and a shingle set, one stays.
     """
     groups = find_groups(docs.select("doc_id", "text"), shingle, percent).where("kept")
-    ids = groups.select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    ids = groups.select(F.col("doc_id").alias("_kept_doc_id")).distinct()
+    rows = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_doc_id")), "left_semi")
     return rows.dropDuplicates(["doc_id"]) if groups.count() > ids.count() else rows
 
 

@@ -140,11 +140,11 @@ def _search(codes: Codes | None, top: int):
                 for q in range(len(queries)):
                     near = tables.within(asked[q], codes.radius) if tables else np.arange(len(ids))
                     near = near[ids[near] != query_ids[q]]
-                    score = vectors[near] @ queries[q]
                     if len(near) > top:
+                        score = vectors[near] @ queries[q]  # may round equal vectors apart
                         least = np.partition(score, len(score) - top)[len(score) - top]
-                        keep = score >= least
-                        near, score = near[keep], score[keep]
+                        near = near[score >= least - 1e-9 * max(1.0, abs(least))]
+                    score = (vectors[near] * queries[q]).sum(axis=1)
                     best = np.lexsort((ids[near], -score))[:top]
                     out.append((np.full(len(best), query_ids[q]), ids[near][best], score[best]))
                 if out:
