@@ -22,7 +22,7 @@ from kindred.llm.common import ship, table
 from kindred.llm.decontamination import Words
 
 #: Labelled documents that the classifiers are fitted on at most: those with the smallest hashes.
-LABELLED = 20_000
+LABELLED = 12_000
 #: Telling words that a classifier keeps at most, and how telling they must be: in log odds, and
 #: in nats of what their documents' labels say against the usual rate.
 LEXICON, LEAST_ODDS, SURPRISE = 4_000, 2.5, 8.5
@@ -62,7 +62,7 @@ def _features(texts: pa.Array) -> Iterator[tuple[list[float], np.ndarray]]:
     """Measures, and distinct hashes of the words, of each text."""
     words = Words(texts)
     coded = words.words.dictionary_encode()
-    named = np.array([xxhash.xxh3_64_intdigest(w) & 0x7FFFFFFFFFFFFFFF for w in coded.dictionary.to_pylist()], np.int64)
+    named = np.array([xxhash.xxh32_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint32)
     place = coded.indices.to_numpy()
     for k in range(len(texts)):
         own = place[words.first[k] : words.first[k + 1]]
@@ -100,28 +100,44 @@ def _told(lexicon: np.ndarray, odds: np.ndarray, words: np.ndarray) -> tuple[flo
     return float(np.clip(found.sum(), -20, 20)), float(found.max(initial=0.0))
 
 
-def _lexicon(words: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.concatenate(words) if words else np.zeros(0, np.int64)
-    own = np.repeat(label, [len(w) for w in words]).astype(float)
-    unique, place = np.unique(flat, return_inverse=True)
-    yes = np.bincount(place, own, minlength=len(unique))
-    no = np.bincount(place, 1 - own, minlength=len(unique))
-    odds = np.log((yes + 0.25) / (label.sum() + 0.5)) - np.log((no + 0.25) / ((1 - label).sum() + 0.5))
-    n, rate = yes + no, np.clip(label.mean(), 1e-6, 1 - 1e-6)
-    p = np.clip(yes / np.maximum(n, 1), 1e-12, 1 - 1e-12)
-    surprise = n * (p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate)))
-    keep = np.flatnonzero((odds >= LEAST_ODDS) & (surprise >= SURPRISE))
-    keep = np.sort(keep[np.argsort(-odds[keep] * yes[keep], kind="stable")][:LEXICON])
-    return unique[keep], odds[keep]
-
-
-def fit(dense: np.ndarray, words: list[np.ndarray], label: np.ndarray) -> Head:
-    """Telling words come from one half of the documents, all weights from the other; then the
-    words once more from all. Ridge logistic regression by Newton's steps."""
+class Vocabulary:
+    """The distinct words of some documents, and each document's places among them."""
+
+    def __init__(self, words: list[np.ndarray]):
+        flat = np.concatenate([np.zeros(0, np.uint32), *words])
+        self.words, place = np.unique(flat, return_inverse=True)
+        self.place = place.astype(np.int32)
+        self.ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+
+    def telling(self, label: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that tell the label, and their log odds, in the documents that are ``used``."""
+        sizes = np.diff(self.ends, prepend=0)
+        size = len(self.words)
+        yes = np.bincount(self.place[np.repeat(used & (label > 0), sizes)], minlength=size)
+        no = np.bincount(self.place[np.repeat(used & (label == 0), sizes)], minlength=size)
+        n_yes, n_no = float(label[used].sum()), float((1 - label[used]).sum())
+        odds = np.log((yes + 0.25) / (n_yes + 0.5)) - np.log((no + 0.25) / (n_no + 0.5))
+        n, rate = yes + no, np.clip(n_yes / max(1.0, n_yes + n_no), 1e-6, 1 - 1e-6)
+        p = np.clip(yes / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+        surprise = n * (p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate)))
+        keep = np.flatnonzero((odds >= LEAST_ODDS) & (surprise >= SURPRISE))
+        keep = np.sort(keep[np.argsort(-odds[keep] * yes[keep], kind="stable")][:LEXICON])
+        return self.words[keep], odds[keep]
+
+
+def fit(dense: np.ndarray, words: list[np.ndarray], vocabulary: Vocabulary, label: np.ndarray) -> list[Head]:
+    """Two classifiers, whose evidence is averaged: the telling words of each come from one half of
+    the documents and its weights from the other, so a word that tells by chance counts little."""
     half = np.arange(len(label)) % 2 == 0
-    lexicon, odds = _lexicon([w for w, h in zip(words, half, strict=True) if h], label[half])
-    x = np.hstack([dense, np.array([_told(lexicon, odds, w) for w in words]).reshape(-1, 2)])[~half]
-    y = label[~half]
+    return [_fit(dense, words, vocabulary, label, h) for h in (half, ~half)]
+
+
+def _fit(dense: np.ndarray, words: list[np.ndarray], vocabulary: Vocabulary, label: np.ndarray, half: np.ndarray) -> Head:
+    """Ridge logistic regression by Newton's steps."""
+    lexicon, odds = vocabulary.telling(label, half)
+    rest = np.flatnonzero(~half)
+    x = np.hstack([dense[rest], np.array([_told(lexicon, odds, words[k]) for k in rest]).reshape(-1, 2)])
+    y = label[rest]
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
     weights, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1])
@@ -132,34 +148,35 @@ def fit(dense: np.ndarray, words: list[np.ndarray], label: np.ndarray) -> Head:
         bend = (z * (p * (1 - p))[:, None]).T @ z + ridge
         weights = weights + np.linalg.solve(bend, slope)
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    lexicon, odds = _lexicon(words, label)
     return Head(lexicon, odds, mean, scale, weights, float(np.log(rate / (1 - rate))))
 
 
-def _train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, Head], dict[str, float]]:
+def _train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, list[Head]], dict[str, float]]:
     picked = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long"), (F.lit(1) - F.col("quality")).alias("low"), F.col("toxic").alias("toxic"))
     picked = picked.groupBy("doc_id").agg(F.max("low").cast("double").alias("low"), F.max("toxic").cast("double").alias("toxic"))
     sample = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # a bounded table
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").select("text", *HEADS).mapInArrow(_labelled, "dense array<double>, words binary, low double, toxic double").limit(LABELLED).collect()
     rows = [r for _, r in sorted({(r["words"], *(r[h] for h in HEADS)): r for r in rows}.items())]  # copies count once
-    words = [np.frombuffer(r["words"], np.int64) for r in rows]
+    words = [np.frombuffer(r["words"], np.uint32) for r in rows]
     order = np.random.default_rng(7).permutation(len(rows))
+    words = [words[k] for k in order]
+    vocabulary = Vocabulary(words)
     heads, rates = {}, {}
     for h in HEADS:
         label = np.array([rows[k][h] for k in order])
         rates[h] = float(np.clip((label.sum() + 0.5) / (len(label) + 1), 1e-4, 1 - 1e-4)) if len(label) else UNTAUGHT
         if 0 < label[::2].sum() < len(label[::2]) and 0 < label[1::2].sum() < len(label[1::2]):
-            heads[h] = fit(np.array([rows[k]["dense"] for k in order]), [words[k] for k in order], label)
+            heads[h] = fit(np.array([rows[k]["dense"] for k in order]), words, vocabulary, label)
     return heads, rates
 
 
-def _evidence(heads: dict[str, Head]):
+def _evidence(heads: dict[str, list[Head]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in bpe.blocks(batches, "text", 4_000_000):
             out = {h: [] for h in HEADS}
             for dense, words in _features(block.column("text").combine_chunks()):
                 for h in HEADS:
-                    out[h].append(heads[h].evidence(dense, words) if h in heads else 0.0)
+                    out[h].append(sum(x.evidence(dense, words) for x in heads[h]) / len(heads[h]) if h in heads else 0.0)
             yield pa.RecordBatch.from_arrays([block.column("row").combine_chunks(), *(block.column(c).combine_chunks() for c in ("host", "path")), *(pa.array(out[h], pa.float64()) for h in HEADS)], ["row", "host", "path", *HEADS])
 
     return run
@@ -185,7 +202,7 @@ def _strength(rates: DataFrame, prior: Column, n: Column, own: Column) -> float:
     return float(min(10_000.0, max(2.0, r["spread"] / (r["seen"] - r["chance"]))))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.4) -> DataFrame:
     """The rows of ``docs`` as the struct ``row``, with p_low and p_toxic (posteriors of low quality
     and of toxicity), path_low and path_toxic (the rates of the path that they start from) and
     keep: both posteriors under ``cut``.
