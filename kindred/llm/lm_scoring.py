@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe
-from kindred.llm.common import scratch, ship
+from kindred.llm.common import scratch, ship, table
 from kindred.llm.decontamination import Words
 
 #: Words of the vocabulary; with unknown and start they number 65,536, so a bigram is 32 bits.
@@ -70,6 +70,25 @@ def _frequent(size: int):
     return run
 
 
+def _most_frequent(words: DataFrame, size: int) -> np.ndarray:
+    """The hashes of the most frequent words, ``size`` at most.
+
+    The driver sees how many words there are of each class of counts (of equal leading 13 bits, so
+    at most some hundred thousand classes) and then the words of the classes that fit as a whole;
+    no task sends it more than its share of those.
+    """
+    less = F.greatest(F.floor(F.log2("n")) - 12, F.lit(0)).cast("int")
+    classed = words.withColumn("class", (less * 8192 + F.expr("shiftright(n, cast(greatest(floor(log2(n)) - 12, 0) as int))")).cast("int"))
+    left, least = size, None
+    for r in sorted(classed.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        if r["n"] > left:
+            break
+        left, least = left - r["n"], r["class"]
+    if least is None:
+        return np.zeros(0, np.int64)
+    return np.array([r["word"] for r in classed.where(F.col("class") >= least).select("word").collect()], np.int64)
+
+
 def _number(vocabulary: np.ndarray):
     """Documents as numbers of words, two bytes each. ``vocabulary`` is sorted."""
 
@@ -228,7 +247,8 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     and is_target of every document. ``target`` has the doc_id of the target documents.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. The vocabulary is
-    the ``VOCABULARY`` most frequent words of the corpus, by hash; other words count as unknown.
+    at most the ``VOCABULARY`` most frequent words of the corpus, by hash (of words that are equally
+    frequent, all or none); other words count as unknown.
     That and the counts of single words are the only parts of the models whose size is fixed, and
     all that is broadcast (2 MB).
 
@@ -243,8 +263,8 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, math.ceil(size / PART_BYTES))
     counted = texts.select("text").mapInArrow(_count_words(parts), "part int, keys binary, counts binary")
-    words = counted.groupBy("part").applyInPandas(_frequent(VOCABULARY), "word long, n long").orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    vocabulary = np.sort(np.array([r["word"] for r in words.select("word", "n").collect()], np.int64).view(np.uint64))
+    words = table(counted.groupBy("part").applyInPandas(_frequent(VOCABULARY), "word long, n long"), "words")
+    vocabulary = np.sort(_most_frequent(words, VOCABULARY).view(np.uint64))
 
     chosen = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     numbered = texts.mapInArrow(_number(vocabulary), "doc_id long, ids binary").join(chosen, "doc_id", "left")
