@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from kindred.llm import bpe
 from kindred.llm.common import ship, table
@@ -308,15 +309,30 @@ def _join_up(least: float, percent: int):
     return run
 
 
+def _with_digest(size: int):
+    """All columns, and the digest of each text's shingle set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in bpe.blocks(batches, "text", 4_000_000):
+            digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(block.column("text").combine_chunks(), size)]
+            yield from block.append_column("_digest", pa.array(digest, pa.binary())).to_batches()
+
+    return run
+
+
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest doc_id; all its columns stay.
 
-    Of rows that repeat both a doc_id and a shingle set, one stays.
+    Of a group's documents that share its smallest doc_id, or have none as all its documents do, the
+    one with the smallest digest of its shingle set stays; of rows that repeat both a doc_id and a
+    shingle set, one. Other rows that share a doc_id don't matter to each other.
     """
-    groups = find_groups(docs.select("doc_id", "text"), shingle, percent).where("kept")
-    ids = groups.select(F.col("doc_id").alias("_kept_doc_id")).distinct()
-    rows = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_doc_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if groups.count() > ids.count() else rows
+    first = table(_grouped(docs.select("doc_id", "text"), shingle, percent).where("first").select(F.col("doc_id").alias("_first_doc_id"), F.col("digest").alias("_first_digest")), "first")
+    pairs = first.distinct()
+    rows = docs.mapInArrow(_with_digest(shingle), StructType([*docs.schema, StructField("_digest", BinaryType())]))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_first_doc_id")) & (F.col("_digest") == F.col("_first_digest"))
+    rows = rows.join(pairs, same, "left_semi")
+    return (rows.dropDuplicates(["doc_id", "_digest"]) if first.count() > pairs.count() else rows).drop("_digest")
 
 
 def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -334,6 +350,12 @@ def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     common band, and 3e-7 for a low estimate. No bucket is cut: large ones are examined in more
     blocks.
     """
+    return _grouped(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """What ``find_groups`` gives, with digest (of the shingle set) and first: whether a row has the
+    doc_id and the shingle set that its group keeps."""
     spark = docs.sparkSession
     ship(spark)
     least = percent / 100 - SLACK
@@ -382,8 +404,12 @@ def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     groups = components(every)
 
     named = classes.select("class_id", "digest", "min_doc").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", label)
-    first = named.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    of_set = named.join(first, "component").select("digest", "component_id")
+    order = F.struct(F.col("min_doc").isNull(), "min_doc", "digest")
+    first = named.groupBy("component").agg(F.min("min_doc").alias("component_id"), F.min_by("digest", order).alias("first_digest"))
+    of_set = named.join(first, "component").select("digest", "component_id", "first_digest")
     out = seen.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    empty = F.col("n_shingles") == 0
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "digest", "first_digest")
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "digest", (empty | kept & (F.col("digest") == F.col("first_digest"))).alias("first"))

@@ -74,6 +74,19 @@ def test_near_dedup_small(spark):
     assert sorted(((r.doc_id or 0, r.component_id, r.kept) for r in got)) == [(0, 3, False), (3, 3, True), (7, 7, True), (7, 7, True)]
 
 
+def test_near_dedup_of_shared_ids(spark):
+    """Texts under one id, or under none, are documents each for itself."""
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    rows = [(7, words(0, 30)), (7, words(100, 130)), (7, words(100, 130)), (None, words(200, 230)), (None, words(300, 330)), (None, words(300, 331))]
+    rows += [(3, words(400, 430)), (9, words(400, 431)), (9, words(500, 530)), (8, ""), (8, words(600, 630)), (None, words(0, 30))]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], DOCS + ", source string").repartition(3)
+    kept = near_dedup.keep_first(docs)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    near = [got.pop((None, words(300, n)), 0) for n in (330, 331)]
+    assert sum(near) == 1 and kept.columns == docs.columns
+    assert got == Counter([(7, words(0, 30)), (7, words(100, 130)), (None, words(200, 230)), (3, words(400, 430)), (9, words(500, 530)), (8, ""), (8, words(600, 630))])
+
+
 def test_similarity_estimate():
     hashes = near_dedup.Hashes(near_dedup.ROWS * near_dedup.BANDS)
     rng = np.random.default_rng(0)
