@@ -5,9 +5,10 @@ models with one vocabulary and one smoothing. Each token's loss under the backgr
 subtracted from its loss under the target model, and the mean over a document scores it: low means
 like the target. A document's own counts are left out of both models while it is scored.
 
-Counts cover the whole corpus. Blocks of documents count their distinct bigrams first, so the most
-frequent one travels once for each block; partitions of the bigrams sum the blocks' counts and
-send every block the sums of its own bigrams.
+Counts cover the whole corpus, and the vocabulary is all of its words. Words and bigrams go by
+64-bit hashes. Blocks of documents count their distinct words and bigrams first, so the most
+frequent one travels once for each block; partitions of the hashes sum the blocks' counts and send
+every block the sums of its own words and bigrams. Nothing is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -24,136 +25,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe
-from kindred.llm.common import scratch, ship, table
+from kindred.llm.common import ship, table
 from kindred.llm.decontamination import Words
 
-#: Words of the vocabulary; with unknown and start they number 65,536, so a bigram is 32 bits.
+#: Smoothing spreads over all words, and over so many where there are fewer; unknown and start come on top.
 VOCABULARY = 65_534
-UNKNOWN, START = 0, 1
-#: Weight of the unigram shares in the bigram model, in counts, and words of one block.
-PRIOR, BLOCK_WORDS = 50.0, 1_000_000
-#: Bytes of text for each partition of words and bigrams.
-PART_BYTES = 24_000_000
+#: Weight of the unigram shares in the bigram model, in counts, and words of one block (of six bytes).
+PRIOR, BLOCK_WORDS = 50.0, 700_000
+#: Bytes of text for each partition of bigrams; one of words has four times as many.
+PART_BYTES = 10_000_000
+
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values: a published 64-bit finalizer
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_START = np.uint64(0)
 
 
 def _hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each distinct word, and each word's place among them."""
+    """Hash of each distinct word, and each word's place among them; the most frequent word comes first."""
     coded = words.words.dictionary_encode()
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64), coded.indices.to_numpy()
+    named = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    place = coded.indices.to_numpy()
+    order = np.argsort(-np.bincount(place, minlength=len(named)), kind="stable")
+    rank = np.empty(len(named), np.uint32)
+    rank[order] = np.arange(len(named), dtype=np.uint32)
+    return named[order], rank[place]
 
 
-def _spread(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = first * _STEP + second
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
 
 
-def _count_words(parts: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in bpe.blocks(batches, "text", 6_000_000):
-            named, place = _hashes(Words(block.column("text").combine_chunks()))
-            n = np.bincount(place, minlength=len(named)).astype(np.int64)
-            to = _spread(named, parts)
-            rows = [(p, named[to == p].tobytes(), n[to == p].tobytes()) for p in range(parts)]
-            part, keys, counts = zip(*(r for r in rows if r[1]), strict=True) if len(named) else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["part", "keys", "counts"])
+def _planes(x: np.ndarray) -> bytes:
+    """How many bytes the largest number takes, then all first bytes, all second ones, and so on."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    return run
 
+def _whole(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.reshape(-1).view("<u8")
 
-def _frequent(size: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
-        unique, place = np.unique(keys, return_inverse=True)
-        n = np.bincount(place, np.frombuffer(b"".join(pdf["counts"]), np.int64)).astype(np.int64)
-        top = np.lexsort((unique, -n))[:size]
-        return pd.DataFrame({"word": unique[top].view(np.int64), "n": n[top]})
 
-    return run
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part of sorted hashes begins, and their number; parts are equal ranges."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
 
-def _most_frequent(words: DataFrame, size: int) -> np.ndarray:
-    """The hashes of the most frequent words, ``size`` at most.
-
-    The driver sees how many words there are of each class of counts (of equal leading 13 bits, so
-    at most some hundred thousand classes) and then the words of the classes that fit as a whole;
-    no task sends it more than its share of those.
-    """
-    less = F.greatest(F.floor(F.log2("n")) - 12, F.lit(0)).cast("int")
-    classed = words.withColumn("class", (less * 8192 + F.expr("shiftright(n, cast(greatest(floor(log2(n)) - 12, 0) as int))")).cast("int"))
-    left, least = size, None
-    for r in sorted(classed.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
-        if r["n"] > left:
-            break
-        left, least = left - r["n"], r["class"]
-    if least is None:
-        return np.zeros(0, np.int64)
-    return np.array([r["word"] for r in classed.where(F.col("class") >= least).select("word").collect()], np.int64)
-
-
-def _number(vocabulary: np.ndarray):
-    """Documents as numbers of words, two bytes each. ``vocabulary`` is sorted."""
+def _gather(most: int):
+    """Blocks of documents, of about ``most`` words: a row each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in bpe.blocks(batches, "text", 6_000_000):
-            words = Words(block.column("text").combine_chunks())
-            named, place = _hashes(words)
-            at = np.searchsorted(vocabulary, named)
-            known = np.zeros(len(named), bool)
-            inside = at < len(vocabulary)
-            known[inside] = vocabulary[at[inside]] == named[inside]
-            number = np.where(known, at + 2, UNKNOWN).astype(np.uint16)[place]
-            ids = [number[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        part, n = TaskContext.get().partitionId(), 0
+        for block in bpe.blocks(batches, "text", 6 * most):
+            for k in range(0, block.num_rows, 1_000_000):
+                rows = block.slice(k, 1_000_000).combine_chunks()
+                words = Words(rows.column("text").combine_chunks())
+                named, place = _hashes(words)
+                doc = rows.column("doc_id").combine_chunks()
+                null = doc.is_null().to_numpy(zero_copy_only=False)
+                lengths = np.diff(words.first).astype(np.int32)
+                packed = [doc.fill_null(0).to_numpy().astype(np.int64), null, lengths, named]
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), *(pa.array([x.tobytes()], pa.binary()) for x in packed), pa.array([_planes(place)], pa.binary())], _BLOCK)
+                n += 1
 
     return run
 
 
-def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents, of about BLOCK_WORDS words: a row each."""
-    part, n = TaskContext.get().partitionId(), 0
-    held: list[tuple] = []
-    size = 0
+_BLOCK = ["block", "docs", "nulls", "lengths", "words", "ids"]
+_BLOCK_KINDS = "block long, docs binary, nulls binary, lengths binary, words binary, ids binary"
 
-    def block() -> pa.RecordBatch:
-        doc, flag, ids = zip(*held, strict=True)
-        lengths = np.array([len(x) // 2 for x in ids], np.int32)
-        null = np.array([d is None for d in doc])
-        docs = np.array([d or 0 for d in doc], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), *(pa.array([x], pa.binary()) for x in (docs.tobytes(), null.tobytes(), np.array(flag, bool).tobytes(), lengths.tobytes(), b"".join(ids)))], _BLOCK)
 
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "target", "ids")), strict=True):
-            held.append(row)
-            size += len(row[2]) // 2 + 1
-            if size >= BLOCK_WORDS:
-                yield block()
-                held, size, n = [], 0, n + 1
-    if held:
-        yield block()
-
-
-_BLOCK = ["block", "docs", "nulls", "targets", "lengths", "ids"]
-_BLOCK_KINDS = "block long, docs binary, nulls binary, targets binary, lengths binary, ids binary"
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each block that have an id, by place."""
+    for row in _rows(batches):
+        docs, at = np.frombuffer(row["docs"], np.int64), np.flatnonzero(~np.frombuffer(row["nulls"], bool))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["block"], np.int64)), pa.array(at.astype(np.int32)), pa.array(docs[at])], ["block", "place", "doc_id"])
 
 
 class Block:
-    """One block's tokens: for each, its document, the word before (START at first) and the word."""
+    """One block's tokens: for each, its document, the word before (the number of words at first) and the word."""
 
     def __init__(self, row: dict):
         self.docs = np.frombuffer(row["docs"], np.int64)
         self.nulls = np.frombuffer(row["nulls"], bool)
-        self.targets = np.frombuffer(row["targets"], bool)
+        self.targets = np.zeros(len(self.docs), bool)
+        if (chosen := row["chosen"]) is not None:
+            self.targets[np.asarray(chosen, np.int64)] = True
         self.lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        self.word = np.frombuffer(row["ids"], np.uint16).astype(np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.word = _whole(row["ids"]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.docs)), self.lengths)
-        self.before = np.concatenate(([START], self.word[:-1])) if len(self.word) else self.word
-        first = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
-        self.before[first] = START
-        key = self.before << 16 | self.word
-        self.keys, self.place = np.unique(key, return_inverse=True)
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        n = np.bincount(self.place, minlength=len(self.keys))
-        return n, np.bincount(self.place, self.targets[self.doc], minlength=len(self.keys)).astype(np.int64)
+        start = len(self.words)
+        self.before = np.concatenate(([start], self.word[:-1])) if len(self.word) else self.word
+        ends = np.cumsum(self.lengths)
+        self.before[(ends - self.lengths)[self.lengths > 0]] = start
+        self.last = (ends - 1)[self.lengths > 0]
+        named = np.append(self.words, _START)
+        self.keys, self.place = np.unique(_pairs(named[self.before], named[self.word]), return_inverse=True)
+        self.order = np.argsort(self.words)
+
+    def bigrams(self) -> list[np.ndarray]:
+        """Counts of each bigram in all documents and in the target's."""
+        flag = self.targets[self.doc]
+        return [np.bincount(self.place, minlength=len(self.keys)), np.bincount(self.place[flag], minlength=len(self.keys))]
+
+    def unigrams(self) -> list[np.ndarray]:
+        """Counts of each word, by hash, in all documents and in the target's; the same of last words, which are no contexts."""
+        flag = self.targets[self.doc]
+        last = self.last[flag[self.last]]
+        return [np.bincount(self.word[at], minlength=len(self.words))[self.order] for at in (slice(None), flag, self.last, last)]
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -162,40 +147,38 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(k, 1).to_pylist()[0]
 
 
-def _unigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and of contexts, in the target documents and in all, of one task."""
-    out = np.zeros((4, 1 << 16), np.int64)
-    for row in _rows(batches):
-        b = Block(row)
-        flag = b.targets[b.doc]
-        for k, x in enumerate((b.word, b.word[flag], b.before, b.before[flag])):
-            out[k] += np.bincount(x, minlength=1 << 16)
-    at = np.flatnonzero(out.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in out)], ["word", "n", "n_target", "context", "context_target"])
+_COUNTS = ["n", "target", "last", "last_target"]
 
 
-def _count_bigrams(parts: int):
+def _count(parts: int, word_parts: int):
+    """Each block's counts of bigrams, to the parts from 0 on, and of words, to those after; every part of words hears of every block."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             b = Block(row)
-            n, target = b.counts()
-            to = _spread(b.keys, parts)
-            for p in range(parts):
-                own = to == p
-                if own.any():
-                    packed = [x[own].astype(np.uint32).tobytes() for x in (b.keys, n, target)]
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in packed)], ["part", "block", "keys", "n", "target"])
+            none = np.zeros(0, np.int64)
+            for base, of, keys, counts in ((0, parts, b.keys, [*b.bigrams(), none, none]), (parts, word_parts, b.words[b.order], b.unigrams())):
+                cuts = _cuts(keys, of).tolist()
+                for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if z > a or base:
+                        packed = [_planes(np.diff(keys[a:z], prepend=np.uint64((p << 64) // of))), *(_planes(x[a:z]) for x in counts)]
+                        yield pa.RecordBatch.from_arrays([pa.array([base + p], pa.int32()), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in packed)], ["part", "block", "keys", *_COUNTS])
 
     return run
 
 
-def _sum_bigrams(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint32)
-    unique, place = np.unique(keys, return_inverse=True)
-    sums = [np.bincount(place, np.frombuffer(b"".join(pdf[c]), np.uint32), minlength=len(unique)) for c in ("n", "target")]
-    ends = np.cumsum([len(x) // 4 for x in pdf["keys"]])
-    out = [[s[place[a:b]].astype(np.float64).tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)] for s in sums]
-    return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "n": out[0], "target": out[1]})
+def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of one part for each block's hashes (less where the part begins); totals are the number of its hashes and the sums of its counts."""
+    keys = [np.cumsum(_whole(x), dtype=np.uint64) for x in pdf["keys"]]
+    ends = np.cumsum([len(x) for x in keys]).tolist()
+    unique, place = np.unique(np.concatenate(keys), return_inverse=True)
+    out, totals = {}, [len(unique)]
+    for c in _COUNTS:
+        own = np.concatenate([_whole(x) for x in pdf[c]])
+        sums = np.bincount(place, own, minlength=len(unique)).astype(np.uint64) if len(own) else np.zeros(0, np.uint64)
+        totals.append(int(sums.sum()))
+        out[c] = [_planes(sums[place[a:z]]) if len(own) else _planes(sums) for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+    return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], **out, "totals": [np.array(totals, np.int64).tobytes()] * len(pdf)})
 
 
 def _own(first: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
@@ -204,31 +187,30 @@ def _own(first: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
     return n[place]
 
 
-def _score(parts: int, unigrams: np.ndarray):
-    """``unigrams``: words, words of the target, contexts, contexts of the target."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["part"] < 0].iloc[0]
-        b = Block(head)
-        sums = {int(r.part): r for r in pdf[pdf["part"] >= 0].itertuples()}
-        to = _spread(b.keys, parts)
-        n, target = np.zeros(len(b.keys)), np.zeros(len(b.keys))
-        for p, r in sums.items():
-            n[to == p] = np.frombuffer(r.n, np.float64)
-            target[to == p] = np.frombuffer(r.target, np.float64)
+def _score(parts: int, vocabulary: int):
+    def run(head: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        b = Block(head.iloc[0])
+        pairs, words = (sums[own].sort_values("part") for own in (sums["part"] < parts, sums["part"] >= parts))
+        read = lambda rows, c: np.concatenate([np.zeros(0), *(_whole(x) for x in rows[c])]).astype(np.float64)
+        n, target = read(pairs, "n"), read(pairs, "target")
+        n_words, every, chosen, texts, chosen_texts = np.sum([np.frombuffer(x, np.int64) for x in words["totals"]], axis=0).tolist()
+        by_word = np.zeros((4, len(b.words)))
+        by_word[:, b.order] = [read(words, c) for c in _COUNTS]
+        word, word_target = by_word[0], by_word[1]
+        before, before_target = np.append(word - by_word[2], texts), np.append(word_target - by_word[3], chosen_texts)
         flag = b.targets[b.doc]
         own = _own(b.doc, b.place, len(b.keys) + 1)
-        own_word, own_before = _own(b.doc, b.word, 1 << 16), _own(b.doc, b.before, 1 << 16)
+        own_word, own_before = (_own(b.doc, x, len(b.words) + 1) for x in (b.word, b.before))
         size = b.lengths[b.doc]
+        places = max(vocabulary, n_words) + 2
 
         def loss(pair, word, before, total, less, part) -> np.ndarray:
             """``part``: the model's share of all counts; smoothing by it matches models of unlike size."""
-            share = (word[b.word] - less * own_word + part) / (total - less * size + part * (VOCABULARY + 2))
+            share = (word[b.word] - less * own_word + part) / (total - less * size + part * places)
             return -np.log((pair[b.place] - less * own + part * PRIOR * share) / (before[b.before] - less * own_before + part * PRIOR))
 
-        every, chosen = unigrams[0].sum(), unigrams[1].sum()
-        background = loss(n, unigrams[0], unigrams[2], every, 1, 1.0)
-        like = loss(target, unigrams[1], unigrams[3], chosen, flag.astype(float), max(chosen / every, 1e-6) if every else 1.0)
+        background = loss(n, word, before, every, 1, 1.0)
+        like = loss(target, word_target, before_target, chosen, flag.astype(float), max(chosen / every, 1e-6) if every else 1.0)
         count = len(b.docs)
         many = np.maximum(b.lengths, 1)
         sums = [np.bincount(b.doc, x, minlength=count) / many for x in (like, background, like - background)]
@@ -247,10 +229,7 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     and is_target of every document. ``target`` has the doc_id of the target documents.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. The vocabulary is
-    at most the ``VOCABULARY`` most frequent words of the corpus, by hash (of words that are equally
-    frequent, all or none); other words count as unknown.
-    That and the counts of single words are the only parts of the models whose size is fixed, and
-    all that is broadcast (2 MB).
+    all words of the corpus, so what is gathered grows with it.
 
     A null or empty text has no tokens and a score of 0. Ids that repeat in ``docs`` are documents
     each for itself; in ``target`` they count once, and null or unknown ids not at all. Without a
@@ -262,25 +241,13 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, math.ceil(size / PART_BYTES))
-    counted = texts.select("text").mapInArrow(_count_words(parts), "part int, keys binary, counts binary")
-    words = table(counted.groupBy("part").applyInPandas(_frequent(VOCABULARY), "word long, n long"), "words")
-    vocabulary = np.sort(_most_frequent(words, VOCABULARY).view(np.uint64))
-
-    chosen = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    numbered = texts.mapInArrow(_number(vocabulary), "doc_id long, ids binary").join(chosen, "doc_id", "left")
-    path = scratch(spark, "blocks")
-    numbered.select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "ids").mapInArrow(_gather, _BLOCK_KINDS).write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(_BLOCK_KINDS).parquet(path)
-
-    unigrams = np.zeros((4, 1 << 16))
-    columns = ["n", "n_target", "context", "context_target"]
-    counts = blocks.mapInArrow(_unigrams, "word long, n long, n_target long, context long, context_target long")
-    for r in counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)).collect():
-        unigrams[:, r["word"]] = [r[c] for c in columns]
-
-    sent = blocks.mapInArrow(_count_bigrams(parts), "part int, block long, keys binary, n binary, target binary")
-    sums = sent.groupBy("part").applyInPandas(_sum_bigrams, "block long, part int, n binary, target binary")
-    none = F.lit(None).cast("binary")
-    heads = blocks.withColumns({"part": F.lit(-1), "n": none, "target": none})
-    rows = heads.unionByName(sums.select("block", "part", "n", "target"), allowMissingColumns=True)
-    return rows.groupBy("block").applyInPandas(_score(parts, unigrams), SCORES)
+    word_parts = max(1, parts // 4)
+    chosen = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    made = table(texts.mapInArrow(_gather(BLOCK_WORDS), _BLOCK_KINDS), "blocks", compression="zstd")
+    placed = made.mapInArrow(_places, "block long, place int, doc_id long").join(chosen, "doc_id")
+    blocks = made.join(placed.groupBy("block").agg(F.collect_list("place").alias("chosen")), "block", "left")
+
+    counts = ", ".join(f"{c} binary" for c in _COUNTS)
+    sent = blocks.mapInArrow(_count(parts, word_parts), f"part int, block long, keys binary, {counts}")
+    sums = sent.groupBy("part").applyInPandas(_sum, f"block long, part int, {counts}, totals binary")
+    return blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(_score(parts, VOCABULARY), SCORES)

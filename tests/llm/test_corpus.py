@@ -148,6 +148,16 @@ def test_lm_scores(spark, monkeypatch, block):
     assert lm_scoring.score_documents(docs.limit(0), target).count() == 0
 
 
+def test_lm_vocabulary_is_all_words(spark, monkeypatch):
+    """More words than the smoothing's least number are all words of their own."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(30))) for k in range(40)]
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 3)
+    got = lm_scoring.score_documents(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k,) for k in (1, 2)], "doc_id long")).collect()
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", len({w for _, t in rows for w in t.split()}))
+    assert sorted((r.doc_id, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9), r.is_target) for r in got) == plain_scores(rows, {1, 2})
+
+
 def test_quality_on_held_out_labels(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
