@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Generator, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -40,8 +41,6 @@ _PARAGRAPH, _HEAD, _BODY = frozenset(["p"]), frozenset(["head"]), frozenset(["bo
 _PARAGRAPH_SCOPE = frozenset(["td", "th", "table", "button", "caption", "html"])
 _IN_TABLE, _IN_CELL = frozenset(["table"]), frozenset(["td", "th", "table"])
 _ROW_GROUPS = frozenset(["thead", "tbody", "tfoot"])
-#: Elements may nest so deep; further ones hang there, as browsers do it.
-_DEEPEST = 200
 #: Columns of a table are padded up to this width; a wider cell just ends where it ends.
 _WIDEST = 60
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -62,22 +61,30 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.counts = Counter(["html"])
 
     def updatepos(self, i: int, j: int) -> int:  # nobody asks for line numbers
         return j
 
     def _close(self, tags: frozenset[str], scope: frozenset[str]) -> None:
+        if not any(self.counts[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
-                del self.open[k:]
+                while len(self.open) > k:
+                    self._pop()
                 return
             if self.open[k].tag in scope:
                 return
 
+    def _pop(self) -> None:
+        self.counts[self.open.pop().tag] -= 1
+
     def _add(self, node: Node, stays: bool) -> None:
         self.open[-1].children.append(node)
-        if stays and len(self.open) < _DEEPEST:
+        if stays:
             self.open.append(node)
+            self.counts[node.tag] += 1
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "html":
@@ -92,14 +99,14 @@ class TreeBuilder(HTMLParser):
         if tag in ("td", "th") and top in ("table", *_ROW_GROUPS):
             self._add(Node("tr", {}), True)
         if tag[0] == "h" and tag[1:].isdigit() and top[0] == "h" and top[1:].isdigit():
-            self.open.pop()
+            self._pop()
         self._add(Node(tag, {k: v or "" for k, v in attrs}), tag not in _VOID)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(x.tag == "p" for x in self.open):
+        if tag == "p" and not self.counts["p"]:
             self._add(Node("p", {}), False)
             return
         if tag == "br":
@@ -108,14 +115,14 @@ class TreeBuilder(HTMLParser):
         if tag in ("html", "body"):
             return
         if self.open[-1].tag == tag and len(self.open) > 1:
-            self.open.pop()
+            self._pop()
             return
         scope = _IN_TABLE if tag in ("tr", "table", *_ROW_GROUPS) else _IN_CELL
         self._close(frozenset([tag]), scope - {tag})
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and not data.isspace():
-            self.open.pop()
+            self._pop()
         self.open[-1].children.append(data)
 
 
@@ -186,11 +193,27 @@ def _width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _table(node: Node) -> list[str]:
+#: A step of rendering, which yields the steps it waits for: pages nest deeper than calls may.
+Step = Generator["Step", list[str] | None, list[str] | None]
+
+
+def _run(step: Step) -> list[str] | None:
+    waiting, value = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as end:
+            waiting.pop()
+            value = end.value
+    return value
+
+
+def _table(node: Node) -> Step:
     rows: list[list[str]] = []
     captions: list[str] = []
 
-    def collect(at: Node) -> None:
+    def collect(at: Node) -> Step:
         loose = []
         for child in at.children:
             if isinstance(child, str):
@@ -199,7 +222,7 @@ def _table(node: Node) -> list[str]:
             elif not visible(child):
                 continue
             elif child.tag in _ROW_GROUPS:
-                collect(child)
+                yield collect(child)
             elif child.tag == "tr":
                 cells: list[str] = []
                 for cell in child.children:
@@ -207,30 +230,30 @@ def _table(node: Node) -> list[str]:
                         if not cell.isspace():
                             captions.append(_SPACE.sub(" ", cell).strip())
                     elif visible(cell):
-                        cells.append(" ".join(x.strip() for x in render_node(cell) if x.strip()))
+                        cells.append(" ".join(x.strip() for x in (yield _lines(cell)) if x.strip()))
                         span = cell.attrs.get("colspan", "")
                         cells += [""] * (min(int(span), 50) - 1 if span.isdecimal() else 0)
                 if any(cells):
                     rows.append(cells)
             else:
-                loose += render_node(child)
+                loose += yield _lines(child)
         captions.extend(loose)
 
-    collect(node)
+    yield collect(node)
     n = max((len(r) for r in rows), default=0)
     wide = [max((w for r in rows if k < len(r) and (w := _width(r[k])) <= _WIDEST), default=0) for k in range(n)]
     lines = ["  ".join(c + " " * max(0, wide[k] - _width(c)) if k < len(r) - 1 else c for k, c in enumerate(r)).rstrip() for r in rows]
     return [*captions, *lines]
 
 
-def _list(node: Node, out: _Lines) -> None:
+def _list(node: Node, out: _Lines) -> Step:
     start = node.attrs.get("start", "")
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     for child in node.children:
         if isinstance(child, str):
             out.write(child)
         elif visible(child):
-            lines = render_node(child)
+            lines = yield _lines(child)
             if child.tag == "li":
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
@@ -243,18 +266,22 @@ def _list(node: Node, out: _Lines) -> None:
 
 def render_node(node: Node) -> list[str]:
     """The lines of what is within a node."""
+    return _run(_lines(node))
+
+
+def _lines(node: Node) -> Step:
     out = _Lines()
-    _render(node, out, node.tag == "pre")
+    yield _render(node, out, node.tag == "pre")
     return out.done()
 
 
-def _render(node: Node, out: _Lines, kept: bool) -> None:
+def _render(node: Node, out: _Lines, kept: bool) -> Step:
     closed = node.tag == "details" and "open" not in node.attrs
     if node.tag == "table":
-        out.block(_table(node))
+        out.block((yield _table(node)))
         return
     if node.tag in ("ul", "ol", "menu", "dir"):
-        _list(node, out)
+        yield _list(node, out)
         return
     for child in node.children:
         if isinstance(child, str):
@@ -268,14 +295,14 @@ def _render(node: Node, out: _Lines, kept: bool) -> None:
             continue
         elif child.tag in ("blockquote", "dd"):
             (out.apart if child.tag == "blockquote" else out.end)()
-            out.block(render_node(child), "  ", "  ")
+            out.block((yield _lines(child)), "  ", "  ")
             (out.apart if child.tag == "blockquote" else out.end)()
         elif child.tag in _BLOCK:
             (out.apart if child.tag in _APART else out.end)()
-            _render(child, out, kept or child.tag == "pre")
+            yield _render(child, out, kept or child.tag == "pre")
             (out.apart if child.tag in _APART else out.end)()
         else:
-            _render(child, out, kept)
+            yield _render(child, out, kept)
 
 
 def extract(html: str | None) -> str:

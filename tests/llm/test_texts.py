@@ -280,6 +280,15 @@ def test_html():
     assert html_text.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_deep_html():
+    """The rules hold however deep elements nest."""
+    tail = "<script>var x = 1</script><style>p {}</style><i hidden>no <b>never</b></i><div style='display:none'>none</div><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></div>end"
+    for n in (3, 300, 5000):
+        assert html_text.extract("<font>" * n + tail) == html_text.extract(tail) == "- a\n- b\n\n1  2\n\nend"
+        assert html_text.extract("<div>" * n + "<span>x</span></div>y" + "</div>" * n) == "x\ny"
+    assert html_text.extract("<ul><li>" * 400 + "x").endswith("- x")
+
+
 def test_pages(spark):
     rows = [(1, "<p>a"), (1, "<p>a"), (2, None), (None, "x<li>y")]
     pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash"))
