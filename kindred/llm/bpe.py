@@ -3,15 +3,18 @@
 The library encodes a text on its own terms at under one megabyte a second. Here a column is cut
 at places where its pre-tokenizer always cuts too, each distinct part goes through the library's
 model once for each worker, and the ids of all texts are gathered from there with numpy. The
-result equals ``Tokenizer.encode_batch`` on the whole texts (see ``tests/llm/test_bpe.py``).
-Other kinds of tokenizer files go through ``encode_batch``.
+result equals ``Tokenizer.encode_batch`` on the whole texts (see ``tests/llm/test_texts.py``), special
+tokens that stand in a text included: the text is cut there and they get their own id. Other kinds
+of tokenizer files go through ``encode_batch``.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -29,8 +32,9 @@ _CLASS[9:14] = _BLANK
 _CLASS[39] = _QUOTE
 _CLASS[128:] = _HIGH
 
-#: Distinct parts that a worker remembers before it starts afresh: about 200 MB.
-CACHED = 900_000
+#: Distinct parts after which a worker's memory of parts grows old: parts that turn up again move to
+#: the new one, the others go when that is full too. Both take about 130 bytes a part.
+CACHED = 120_000
 
 
 def default_path() -> str:
@@ -53,11 +57,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
+        added = spec.get("added_tokens") or []
+        self.special = {t["content"].encode(): t["id"] for t in added}
+        self.special_pattern = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
         self.in_parts = (
-            spec.get("normalizer") is None
+            not any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+            and spec.get("normalizer") is None
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
@@ -67,14 +74,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.split = regex.compile(PATTERN).findall
         self.letters = _byte_letters()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.n_flat = 0
-        self.begins = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int32)
+        self.older = Parts()
+        self.parts = Parts()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than the texts) and the ids of all texts; null counts as empty."""
@@ -87,7 +88,7 @@ class Encoder:
         offsets, data = text_bytes(texts)
         if not len(data):
             return np.zeros(n + 1, np.int64), np.zeros(0, np.int32)
-        cuts = self._cuts(data, offsets)
+        cuts = self._cuts(data, offsets, self._specials(data, offsets))
         parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
         on = gc.isenabled()
         gc.disable()
@@ -97,21 +98,33 @@ class Encoder:
             if on:
                 gc.enable()
         part = index[parts.indices.to_numpy()]
-        sizes = self.lengths[part].astype(np.int64)
+        sizes = self.parts.lengths[part].astype(np.int64)
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.begins[part] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        ids = self.parts.flat[np.repeat(self.parts.begins[part] - (ends - sizes), sizes) + np.arange(ends[-1])]
         before = np.concatenate(([0], ends))
         return before[np.searchsorted(cuts, offsets)], ids
 
+    def _specials(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where special tokens stand in the texts."""
+        raw = data.tobytes() if self.special else b""
+        if not any(x in raw for x in self.special):
+            return []
+        bounds = offsets.tolist()
+        return [m.span() for a, b in zip(bounds[:-1], bounds[1:], strict=True) for m in self.special_pattern.finditer(raw, a, b)]
+
     @staticmethod
-    def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def _cuts(data: np.ndarray, offsets: np.ndarray, specials: list[tuple[int, int]]) -> np.ndarray:
         """Starts of parts, and the end. Each is a place where a pre-token starts."""
         kind = _CLASS[data]
-        cut = np.zeros(len(data) + 1, bool)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        for a, b in specials:  # what stands between them is a text of its own
+            edge[[a, b]] = True
+        cut = edge.copy()
         prev, here = kind[:-1], kind[1:]
         shown = lambda k: (k == _WORD) | (k == _MARK) | (k == _QUOTE)  # noqa: E731  visible ASCII
         seen = shown(kind)
-        after = np.concatenate((seen[2:], [False]))
+        after = np.concatenate((seen[2:], [False])) & ~edge[2:]
         space = here == _SPACE
         inner = space & (seen[:-1] | after)
         blank = here == _BLANK
@@ -119,15 +132,16 @@ class Encoder:
         inner[1:] |= seen[:-2] & (prev == _BLANK)[1:] & seen[2:]  # after a longer run the lookahead would differ
         inner |= (prev == _WORD) & (here == _MARK)
         inner |= (prev == _MARK) & (here == _WORD)
-        cut[1:-1] = inner
-        cut[offsets] = True
+        cut[1:-1] |= inner
         cut[0] = cut[-1] = True
+        for a, b in specials:
+            cut[a + 1 : b] = False
         return np.flatnonzero(cut).astype(np.int64)
 
     def _indices(self, parts: list[bytes]) -> np.ndarray:
-        if len(self.known) > CACHED:
-            self._forget()
-        get, known = self.known.get, self.known
+        if len(self.parts.known) > CACHED:
+            self.older, self.parts = self.parts, Parts()
+        get, known, old = self.parts.known.get, self.parts.known, self.older
         out = [get(p, -1) for p in parts]
         missing = [i for i, k in enumerate(out) if k < 0]
         if missing:
@@ -138,17 +152,36 @@ class Encoder:
                 p = parts[i]
                 before = len(ids)
                 word = p[1:] if p[:1] == b" " else p
-                if word.isalpha() or word.decode().isalpha():  # one pre-token
+                if (at := old.known.get(p, -1)) >= 0:
+                    ids += old.ids(at)
+                elif p in self.special:
+                    ids.append(self.special[p])
+                elif word.isalpha() or word.decode().isalpha():  # one pre-token
                     ids += [t.id for t in tokenize(p.decode("latin-1").translate(letters))]
                 else:
                     for piece in split(p.decode()):
                         ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
                 sizes.append(len(ids) - before)
                 out[i] = known[p] = len(known)
-            self._keep(np.array(ids, np.int32), np.array(sizes, np.int32))
+            self.parts.keep(np.array(ids, np.int32), np.array(sizes, np.int32))
         return np.array(out, np.int64)
 
-    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+
+class Parts:
+    """Parts of texts that are known, numbered, and the ids of each."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.n_flat = 0
+        self.begins = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int32)
+
+    def ids(self, at: int) -> list[int]:
+        return self.flat[self.begins[at] : self.begins[at] + self.lengths[at]].tolist()
+
+    def keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of those that were numbered last."""
         end, first = self.n_flat + len(ids), len(self.known) - len(sizes)
         if end > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.n_flat], np.zeros(end * 2 - self.n_flat, np.int32)))
@@ -189,8 +222,21 @@ def encoder(path: str | None) -> Encoder:
     return _ENCODERS[path]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give back what this worker holds and doesn't need: it may idle beside another stage's workers."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def blocks(batches, column: str, most: int = 8_000_000):
-    """Join small Arrow batches and split large ones, to about ``most`` bytes of text (one row at least)."""
+    """Join small Arrow batches and split large ones, to about ``most`` bytes of text (one row at least).
+
+    At the end the worker's spare memory goes back.
+    """
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
@@ -207,6 +253,8 @@ def blocks(batches, column: str, most: int = 8_000_000):
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = batch = None
+    trim()
 
 
 def crc32s(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -24,9 +24,7 @@ DOCS = "doc_id long, text string"
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(bpe.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(bpe.default_path())
 
 
 def whole(tokenizer, text):
@@ -37,12 +35,20 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-@given(st.lists(st.text(st.sampled_from(" \n\t.,'ab1é  ß$(\x01\x1csdmtlrve"), max_size=40), max_size=8))
-@settings(max_examples=80, deadline=None)
-def test_encoder_equals_library(texts):
-    e = bpe.encoder(None)
-    offsets, ids = e.encode(pa.array(texts, pa.string()))
-    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+PIECES = [*" \n\t.,'ab1é  ß$(\x01\x1csdmtlrve", "<|endoftext|>", "<|endof", "text|>", "   "]
+
+
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=40).map("".join), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_encoder_equals_library(tokenizer, texts):
+    offsets, ids = bpe.encoder(None).encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_special_tokens_keep_their_id(tokenizer):
+    offsets, ids = bpe.encoder(None).encode(pa.array(["a  <|endoftext|> b", "<|endoftext|>"]))
+    assert ids[offsets[1] :].tolist() == [50256]
+    assert ids[: offsets[1]].tolist() == tokenizer.encode("a  <|endoftext|> b").ids
 
 
 def test_encoder_forgets_and_goes_on(monkeypatch):
