@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe
-from kindred.llm.common import ship
+from kindred.llm.common import as_row, column, ship, with_row
 from kindred.llm.fm_index import FMIndex
 
 WINDOW, LEAST_ITEMS = 8, 2
@@ -206,8 +206,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark = docs.sparkSession
     ship(spark)
-    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"))
-    return given.mapInArrow(_search(_slices(benchmark), window, least_items), f"row {given.schema['row'].dataType.simpleString()}, {_FOUND}")
+    given = as_row(docs, F.col("text"))
+    return given.mapInArrow(_search(_slices(benchmark), window, least_items), with_row(given, _FOUND))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -231,9 +231,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents, and with the spans of the others' occurrences
     cut out of their ``text`` (``n_chars``, if there is such a column, is counted anew there)."""
     marked = mark_contamination(docs, benchmark).where(~F.col("contaminated"))
-    row = marked.schema["row"].dataType.simpleString()
-    clean = marked.select("row", "spans").mapInArrow(_without, f"row {row}, spans array<struct<start:int,end:int>>, clean string")
+    clean = marked.select("row", "spans").mapInArrow(_without, with_row(marked, "spans array<struct<start:int,end:int>>, clean string"))
     new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
-    return clean.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return clean.select(*((new[c] if c in new else column(c, "row")).alias(c) for c in docs.columns))

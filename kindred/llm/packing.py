@@ -21,7 +21,7 @@ from kindred.llm import bpe
 from kindred.llm.common import scratch, ship
 
 CAPACITY, END_ID = 1024, 2
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long, ids array<int>"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long"
 #: Of one length: first rank, number of sequences, slots in each, first sequence, offset there.
 Slot = tuple[int, int, int, int, int]
 
@@ -74,7 +74,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int,
     return dict(slots), made
 
 
-def _cut(tokenizer: str | None, end: int, capacity: int):
+def _cut(tokenizer: str | None, end: int, capacity: int, kept: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = bpe.encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
@@ -95,7 +95,7 @@ def _cut(tokenizer: str | None, end: int, capacity: int):
             rank[by] = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
             rank += seen[length]
             seen += counts
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, offsets[-1]), pa.int32()), pa.array(ids, pa.int32()))
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(begin, offsets[-1]), pa.int32()), pa.array(ids, pa.int32()))] if kept else []
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id").combine_chunks().cast(pa.int64()).take(pa.array(doc)),
@@ -105,9 +105,9 @@ def _cut(tokenizer: str | None, end: int, capacity: int):
                     pa.array(bpe.crc32s(ids, begin, begin + length)),
                     pa.array(np.full(len(doc), part, np.int32)),
                     pa.array(rank),
-                    lists,
+                    *lists,
                 ],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "part", "part_rank", "ids"],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "part", "part_rank", *(["ids"] if kept else [])],
             )
 
     return run
@@ -154,8 +154,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     spark = docs.sparkSession
     ship(spark)
     path = scratch(spark, "pieces")
-    docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, end_id, capacity), PIECES).write.option("compression", "zstd").parquet(path)
-    pieces = spark.read.schema(PIECES).parquet(path)
+    written = PIECES + ", ids array<int>" * ids
+    docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, end_id, capacity, ids), written).write.option("compression", "zstd").parquet(path)
+    pieces = spark.read.schema(written).parquet(path)
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe
-from kindred.llm.common import ship, table
+from kindred.llm.common import as_row, column, ship, table, with_row
 from kindred.llm.decontamination import Words
 
 #: Labelled documents that the classifiers are fitted on at most: those with the smallest hashes.
@@ -225,9 +225,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.4) -> DataF
     bare = F.regexp_replace(source, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.substring_index(bare, "/", 1)
     path = F.substring_index(F.regexp_replace(bare, "[?#].*$", ""), "/", 2)
-    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"), host.alias("host"), path.alias("path"))
-    kinds = f"row {given.schema['row'].dataType.simpleString()}, host string, path string, low double, toxic double"
-    seen = table(given.mapInArrow(_evidence(heads), kinds), "evidence", compression="zstd")
+    given = as_row(docs, F.col("text"), host.alias("host"), path.alias("path"))
+    seen = table(given.mapInArrow(_evidence(heads), with_row(given, "host string, path string, low double, toxic double")), "evidence", compression="zstd")
 
     def alone(h: str) -> Column:
         return _logistic(F.col(h) + float(np.log(rates[h] / (1 - rates[h]))))
@@ -265,4 +264,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; all else as it is."""
-    return score_quality(docs, labels).where("keep").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return score_quality(docs, labels).where("keep").select(*(column(c, "row").alias(c) for c in docs.columns))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe
-from kindred.llm.common import scratch, ship
+from kindred.llm.common import as_row, column, scratch, ship, with_row
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -72,10 +72,14 @@ def _base(text: str) -> list[tuple[int, int, int]]:
 
 def _candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """Start, end and encoding; not those within a span of a pattern, nor plain numbers."""
+    at, reach = 0, 0  # spans of patterns that start so far, and how far they reach
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
+        while at < len(base) and base[at][0] <= a:
+            reach = max(reach, base[at][2])
+            at += 1
         s = m.group().rstrip("=")
-        if s.isdigit() or any(x <= a and b <= y for x, _, y in base):
+        if s.isdigit() or b <= reach:
             continue
         for k, (pattern, _) in enumerate(_ENCODINGS):
             if pattern.fullmatch(s):
@@ -223,11 +227,11 @@ _FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans st
 def _found(docs: DataFrame, alpha: float, redacted: bool, marker: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    given = docs.select(F.struct(*([F.col(f"`{c}`") for c in docs.columns] if redacted else ["doc_id"])).alias("row"), F.col("text").alias("text"))
-    row = given.schema["row"].dataType.simpleString()
+    given = as_row(docs, F.col("text")) if redacted else docs.select(F.struct("doc_id").alias("row"), "text")
     path = scratch(spark, "secrets")
-    given.mapInArrow(_scan(None), f"row {row}, {_SCAN}").write.option("compression", "zstd").parquet(path)
-    seen = spark.read.schema(f"row {row}, {_SCAN}").parquet(path)
+    kinds = with_row(given, _SCAN)
+    given.mapInArrow(_scan(None), kinds).write.option("compression", "zstd").parquet(path)
+    seen = spark.read.schema(kinds).parquet(path)
     sums = seen.where("stats is not null").select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(_STATS)
     for r in sums:
@@ -239,7 +243,7 @@ def _found(docs: DataFrame, alpha: float, redacted: bool, marker: str) -> DataFr
     depths = rows.where(F.size("tested") > 0).select("tested").mapInArrow(_depths(text), "stratum int, depth int")
     counts = {(r["stratum"], r["depth"]): r["n"] for r in depths.groupBy("stratum", "depth").agg(F.count("*").alias("n")).collect()}
     least = cut_offs(counts, alpha)
-    return rows.select("row", "base", "tested").mapInArrow(_finish(text, least, redacted, marker), f"row {row}, {_FOUND}" + ", clean string" * redacted)
+    return rows.select("row", "base", "tested").mapInArrow(_finish(text, least, redacted, marker), with_row(rows, _FOUND + ", clean string" * redacted))
 
 
 def find_secrets(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
@@ -252,7 +256,7 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
 
     A null or empty text has no finds: zeros, an empty list and its digest. Repeated rows are
     scanned each for itself, further columns don't matter, and an empty table gives no rows. Texts
-    are scanned whole. The driver gets the corpus's 262 sums and a count for each class of length
+    are scanned whole, in a time that grows with their length. The driver gets the corpus's 262 sums and a count for each class of length
     and rounded p-value, both of fixed size.
     """
     return _found(docs, alpha, False, "").select("row.doc_id", *(c.split()[0] for c in _FOUND.split(", ")))
@@ -261,10 +265,10 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
 def redact_secrets(docs: DataFrame, alpha: float = 0.01, marker: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``marker``; overlapping ones by one.
 
-    All rows and columns stay; texts without finds, null ones among them, stay as they are.
+    All rows and columns stay, whatever the columns' names; texts without finds, null ones among them, stay as they are.
     ``n_chars``, if there is such a column, is counted anew where the text changed.
     """
     found = _found(docs, alpha, True, marker)
     changed = F.col("spans") != ""
     new = {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("clean")}
-    return found.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return found.select(*((new[c] if c in new else column(c, "row")).alias(c) for c in docs.columns))
