@@ -19,12 +19,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from kindred.llm import bpe
-from kindred.llm.common import ship, table
+from kindred.llm.common import Tables, fresh, ship
 from kindred.llm.graph import components
 
 ROWS, BANDS, BITS = 5, 40, 4
@@ -32,6 +31,10 @@ ROWS, BANDS, BITS = 5, 40, 4
 SLACK = 0.147
 #: Classes of one block, and bytes of their sets.
 BLOCK_ROWS, BLOCK_BYTES = 512, 2_000_000
+#: Classes of one bucket that a task gets in a join on the bucket, about.
+SALTED = 2_048
+#: Bits of the filter that says which documents' sets are wanted, at most: 16 MB.
+FILTER_BITS = 1 << 27
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values: a published 64-bit finalizer
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -97,6 +100,14 @@ class Hashes:
         return out
 
 
+#: A row's doc_id, and two hashes of its text.
+KEY = ("doc_id", "text_1", "text_2")
+
+
+def _keyed(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_1"), F.xxhash64(F.lit(1), "text").alias("text_2")]
+
+
 def _features(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(ROWS * BANDS)
@@ -114,13 +125,13 @@ def _features(size: int):
             packed = low[:, ::2] | (low[:, 1::2] << 4)
             yield pa.RecordBatch.from_arrays(
                 [
-                    block.column("doc_id").combine_chunks().cast(pa.int64()),
+                    *(block.column(c).combine_chunks() for c in KEY),
                     pa.array(np.array(n_shingles, np.int64)),
                     pa.array(digest, pa.binary()),
                     pa.array([x.tobytes() for x in packed], pa.binary()),
                     pa.array([x.tobytes() for x in keys], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "digest", "signature", "bands"],
+                [*KEY, "n_shingles", "digest", "signature", "bands"],
             )
 
     return run
@@ -188,13 +199,36 @@ def _confirm(percent: int):
     return run
 
 
-def _sets(size: int):
+def _filter_of(hashes: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter, two bits for each of ``n`` values of the column h. Its words, at most
+    FILTER_BITS / 64, are what goes to the driver; with more values it lets more pass."""
+    bits = min(FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
+    at = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _sets(size: int, wanted):
+    """The sets of the texts that the filter lets pass."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in bpe.blocks(batches, "text", 4_000_000):
-            rows = [(c, x.tobytes()) for c, d, x in zip(block.column("class_id").to_pylist(), block.column("digest").to_pylist(), shingle_sets(block.column("text").combine_chunks(), size), strict=True) if xxhash.xxh3_128_digest(x.tobytes()) == d]
-            for k in range(0, len(rows), 1000):
-                ids, sets = zip(*rows[k : k + 1000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["class_id", "shingles"])
+        words = wanted.value
+        last = np.uint64(len(words) * 64 - 1)
+
+        def passing() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = b.column("h").to_numpy().view(np.uint64)
+                keep = np.ones(len(h), bool)
+                for at in (h & last, (h >> np.uint64(32)) & last):
+                    keep &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+                yield b.filter(pa.array(keep))
+
+        for block in bpe.blocks(passing(), "text", 4_000_000):
+            found = [x.tobytes() for x in shingle_sets(block.column("text").combine_chunks(), size)]
+            digest = pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), digest, pa.array(found, pa.binary())], ["doc_id", "digest", "shingles"])
 
     return run
 
@@ -309,30 +343,30 @@ def _join_up(least: float, percent: int):
     return run
 
 
-def _with_digest(size: int):
-    """All columns, and the digest of each text's shingle set."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in bpe.blocks(batches, "text", 4_000_000):
-            digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(block.column("text").combine_chunks(), size)]
-            yield from block.append_column("_digest", pa.array(digest, pa.binary())).to_batches()
-
-    return run
-
-
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest doc_id; all its columns stay.
 
     Of a group's documents that share its smallest doc_id, or have none as all its documents do, the
     one with the smallest digest of its shingle set stays; of rows that repeat both a doc_id and a
-    shingle set, one. Other rows that share a doc_id don't matter to each other.
+    shingle set, one. Other rows that share a doc_id don't matter to each other. A text without words,
+    null or empty, is in no group: all such rows stay. An empty table gives no rows; columns may have
+    any names.
     """
-    first = table(_grouped(docs.select("doc_id", "text"), shingle, percent).where("first").select(F.col("doc_id").alias("_first_doc_id"), F.col("digest").alias("_first_digest")), "first")
-    pairs = first.distinct()
-    rows = docs.mapInArrow(_with_digest(shingle), StructType([*docs.schema, StructField("_digest", BinaryType())]))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_first_doc_id")) & (F.col("_digest") == F.col("_first_digest"))
-    rows = rows.join(pairs, same, "left_semi")
-    return (rows.dropDuplicates(["doc_id", "_digest"]) if first.count() > pairs.count() else rows).drop("_digest")
+    run = Tables(docs.sparkSession)
+    rows = _grouped(docs, shingle, percent, run).where("first").groupBy("doc_id", "digest")
+    first = run.write(rows.agg(F.min(F.struct("text_1", "text_2")).alias("text"), F.count("*").alias("n")), "first")
+    own, named = {}, docs
+    for c, of in zip(KEY, _keyed(docs), strict=True):
+        own[c] = fresh(f"_{c}", named)
+        named = named.withColumn(own[c], of)
+    kept = first.select(F.col("doc_id").alias("a"), F.col("text.text_1").alias("b"), F.col("text.text_2").alias("c"))
+    # a third of the rows may lack a doc_id: texts' hashes deal them
+    rows = named.join(kept, named[own["doc_id"]].eqNullSafe(kept["a"]) & (named[own["text_1"]] == kept["b"]) & (named[own["text_2"]] == kept["c"]), "left_semi")
+    if first.where("n > 1").limit(1).count():
+        alone = fresh("_alone", rows)
+        wordless = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+        rows = rows.withColumn(alone, F.when(wordless, F.monotonically_increasing_id())).dropDuplicates([*own.values(), alone]).drop(alone)
+    return rows.drop(*own.values())
 
 
 def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -348,43 +382,63 @@ def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 
     A pair at the threshold is missed with a probability of (1 - 0.8^5)^40, 1.3e-7, for want of a
     common band, and 3e-7 for a low estimate. No bucket is cut: large ones are examined in more
-    blocks.
+    blocks. Texts are read whole, a few million bytes of text at a time or one longer text.
     """
-    return _grouped(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+    return _grouped(docs, shingle, percent, Tables(docs.sparkSession)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _salts(n: str | Column = "n") -> Column:
+    """How many parts a bucket of ``n`` classes is dealt to."""
+    return F.ceil((F.col(n) if isinstance(n, str) else n) / SALTED).cast("long")
+
+
+def _salt(of: str) -> Column:
+    return F.pmod(F.xxhash64(of), _salts()).alias("salt")
+
+
+def _to_all_salts(df: DataFrame) -> DataFrame:
+    """A row for each part that its bucket is dealt to."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)))
 
 
-def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """What ``find_groups`` gives, with digest (of the shingle set) and first: whether a row has the
-    doc_id and the shingle set that its group keeps."""
+def _grouped(docs: DataFrame, shingle: int, percent: int, run: Tables) -> DataFrame:
+    """What ``find_groups`` gives, with digest (of the shingle set), the text's hashes and first:
+    whether a row has the doc_id and the shingle set that its group keeps."""
     spark = docs.sparkSession
     ship(spark)
     least = percent / 100 - SLACK
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    seen = table(texts.mapInArrow(_features(shingle), "doc_id long, n_shingles long, digest binary, signature binary, bands binary"), "features")
+    keyed = docs.select(*_keyed(docs), "text")
+    seen = run.write(keyed.mapInArrow(_features(shingle), "doc_id long, text_1 long, text_2 long, n_shingles long, digest binary, signature binary, bands binary"), "features")
     grouped = seen.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("min_doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    classes = table(grouped.withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    classes = run.write(grouped.withColumn("class_id", F.monotonically_increasing_id()), "classes")
 
     band_rows = classes.select("class_id", "bands").mapInArrow(_bands, "class_id long, band long")
     buckets = band_rows.groupBy("band").agg(F.count("*").alias("n"), F.min("class_id").alias("pivot")).where("n > 1")
-    shared = table(band_rows.join(buckets, "band"), "buckets")
+    shared = run.write(band_rows.join(buckets, "band"), "buckets")
 
     sig = classes.select(F.col("class_id").alias("u"), "signature")
     star = shared.where("class_id <> pivot").groupBy(F.col("class_id").alias("u"), F.col("pivot").alias("v")).agg(F.min("n").alias("n"))
-    star = star.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("signature").alias("pivot_signature")), "v")
-    near = table(star.mapInArrow(_estimate(least), "u long, v long, n long, estimate double"), "near")
+    pivots = shared.where("class_id = pivot").groupBy(F.col("pivot").alias("v")).agg(F.max("n").alias("n"))
+    pivots = _to_all_salts(pivots.join(sig.withColumnsRenamed({"u": "v", "signature": "pivot_signature"}), "v")).drop("n")
+    star = star.join(sig, "u").withColumn("salt", _salt("u")).join(pivots, ["v", "salt"])
+    near = run.write(star.select("u", "v", "n", "signature", "pivot_signature").mapInArrow(_estimate(least), "u long, v long, n long, estimate double"), "near")
     best = near.groupBy("u").agg(F.max_by("v", "estimate").alias("v")).unionByName(near.where("n = 2").select("u", "v")).distinct()
 
-    wanted = shared.select("class_id").distinct().join(classes.select("class_id", "digest", "min_doc"), "class_id")
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("min_doc"))).select("class_id", "digest", "text")
-    sets = table(found.mapInArrow(_sets(shingle), "class_id long, shingles binary").dropDuplicates(["class_id"]), "sets")
+    wanted = run.write(shared.select("class_id").distinct().join(classes.select("class_id", "digest", "min_doc"), "class_id"), "wanted")
+    flags = spark.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64("min_doc").alias("h")), wanted.count()))
+    found = keyed.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(shingle, flags), "doc_id long, digest binary, shingles binary")
+    found = found.join(wanted, found["doc_id"].eqNullSafe(wanted["min_doc"]) & (found["digest"] == wanted["digest"])).select("class_id", "shingles")
+    sets = run.write(found.dropDuplicates(["class_id"]), "sets")
+    run.drop("wanted")
     both = best.join(sets.select(F.col("class_id").alias("u"), F.col("shingles").alias("left_set")), "u").join(sets.select(F.col("class_id").alias("v"), F.col("shingles").alias("right_set")), "v")
-    links = table(both.mapInArrow(_confirm(percent), "u long, v long"), "links")
+    links = run.write(both.mapInArrow(_confirm(percent), "u long, v long"), "links")
+    run.drop("near")
 
-    joined = table(components(links), "joined")
+    joined = run.write(components(links), "joined")
     label = F.coalesce("component", "class_id")
-    marked = shared.where("n > 2").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "band", "n", label.alias("component"))
-    mixed = marked.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band")
-    left = marked.join(mixed, "band").join(classes.select("class_id", "signature"), "class_id")
+    marked = shared.where("n > 2").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "band", "n", label.alias("component"), _salt("class_id"))
+    mixed = marked.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("n").alias("n")).where("a < b").select("band", "n")
+    left = marked.join(_to_all_salts(mixed).drop("n"), ["band", "salt"]).join(classes.select("class_id", "signature"), "class_id")
 
     def dealt(df: DataFrame, blocks) -> DataFrame:
         """Each class to the pairs of blocks that its own is in."""
@@ -394,22 +448,24 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     by_rows = F.ceil(F.col("n") / BLOCK_ROWS).cast("long")
     candidates = dealt(left, by_rows).select("band", "i", "j", "class_id", "component", "signature", "block")
-    open_rows = table(_sorted_by_group(candidates).mapInArrow(_open(least), "band long, class_id long").distinct(), "open")
+    open_rows = run.write(_sorted_by_group(candidates).mapInArrow(_open(least), "band long, class_id long").distinct(), "open")
     still = open_rows.join(marked, ["band", "class_id"]).join(classes.select("class_id", "signature", "bands", "n_shingles"), "class_id")
-    sizes = still.groupBy("band").agg(F.sum(F.col("n_shingles") * 8 + BLOCK_BYTES // BLOCK_ROWS).alias("bytes"))
-    fine = dealt(still.join(sizes, "band"), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("long")).join(sets, "class_id")
+    sizes = still.groupBy("band").agg(F.sum(F.col("n_shingles") * 8 + BLOCK_BYTES // BLOCK_ROWS).alias("bytes"), F.max("n").alias("n"))
+    fine = dealt(still.join(_to_all_salts(sizes).drop("n"), ["band", "salt"]), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("long")).join(sets, "class_id")
     fine = _sorted_by_group(fine.select("band", "i", "j", "class_id", "component", "signature", "bands", "block", "shingles"))
     more = fine.mapInArrow(_join_up(least, percent), "u long, v long")
-    every = table(links.unionByName(more), "links")
+    every = run.write(links.unionByName(more), "every")
+    run.drop("buckets", "sets", "links", "joined", "open")
     groups = components(every)
+    run.drop("every")
 
     named = classes.select("class_id", "digest", "min_doc").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", label)
     order = F.struct(F.col("min_doc").isNull(), "min_doc", "digest")
     first = named.groupBy("component").agg(F.min("min_doc").alias("component_id"), F.min_by("digest", order).alias("first_digest"))
     of_set = named.join(first, "component").select("digest", "component_id", "first_digest")
-    out = seen.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
+    out = seen.join(of_set, "digest", "left")
     empty = F.col("n_shingles") == 0
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
+    out = out.select(*KEY, "n_shingles", component.alias("component_id"), "digest", "first_digest")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "digest", "first_digest")
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "digest", (empty | kept & (F.col("digest") == F.col("first_digest"))).alias("first"))
+    return out.select(*KEY, "n_shingles", "component_id", kept.alias("kept"), "digest", (empty | kept & (F.col("digest") == F.col("first_digest"))).alias("first"))
