@@ -8,6 +8,7 @@ fewer documents there are. How strongly is estimated from the spread of the site
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,48 +32,80 @@ HEADS = ("low", "toxic")
 UNTAUGHT = 0.05
 #: Paths up to which their table is broadcast (under 10 MB).
 BROADCAST_PATHS = 100_000
+#: Documents from which a path's rates go to its rows by broadcast even where there are more paths.
+HOT_PATH = 100_000
 
 
-def _dense(words: Words, place: np.ndarray, k: int) -> list[float]:
-    """Measures of form of one text."""
-    own = words.raw[words.offsets[k] : words.offsets[k + 1]]
-    a, b = words.first[k], words.first[k + 1]
-    n, m = max(1, len(own)), max(1, b - a)
-    upper, lower = ((own >= 65) & (own <= 90)).sum(), ((own >= 97) & (own <= 122)).sum()
-    mark = ((own > 32) & (own < 48)) | ((own > 57) & (own < 65)) | ((own > 90) & (own < 97)) | ((own > 122) & (own < 127))
-    odd = mark & ~np.isin(own, (33, 34, 39, 44, 45, 46, 58, 59, 63))
-    ids = place[a:b]
-    return [
-        np.log1p(len(own)) / 10,
-        np.log1p(b - a) / 10,
-        min(len(own) / m, 30) / 30,
-        upper / max(1, upper + lower),
-        min(1.0, 10 * odd.sum() / n),
-        min(1.0, 5 * mark.sum() / n),
-        min(1.0, 5 * ((own >= 48) & (own <= 57)).sum() / n),
-        min(1.0, 20 * (own == 10).sum() / n),
-        len(np.unique(ids)) / m,
-        float((ids[1:] == ids[:-1]).sum()) / m,
-        min(1.0, 50 * (own == 124).sum() / n),
-        min(1.0, 20 * (own == 33).sum() / n),
-    ]
-
-
-def _features(texts: pa.Array) -> Iterator[tuple[list[float], np.ndarray]]:
-    """Measures, and distinct hashes of the words, of each text."""
-    words = Words(texts)
-    coded = words.words.dictionary_encode()
-    named = np.array([xxhash.xxh32_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint32)
-    place = coded.indices.to_numpy()
-    for k in range(len(texts)):
-        own = place[words.first[k] : words.first[k + 1]]
-        yield _dense(words, place, k), named[np.unique(own)]
+def _mask(characters: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in characters]] = True
+    return out
+
+
+_UPPER, _LOWER, _DIGIT, _LINE, _BAR, _BANG = map(_mask, (string.ascii_uppercase, string.ascii_lowercase, string.digits, "\n", "|", "!"))
+_MARK = _mask(string.punctuation)
+_ODD = _MARK & ~_mask("!\"',-.:;?")
+
+
+def _dense(words: Words, doc: np.ndarray, place: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Measures of form: a line for each text. ``doc`` and ``place``: each word's text and which word it is."""
+    size, n_words = np.diff(words.offsets), np.diff(words.first)
+    n, m = np.maximum(size, 1), np.maximum(n_words, 1)
+    at = words.offsets.tolist()
+    seen = np.array([np.bincount(words.raw[a:b], minlength=256) for a, b in zip(at[:-1], at[1:], strict=True)]).reshape(-1, 256)
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        return seen[:, mask].sum(axis=1)
+
+    def share(mask: np.ndarray, times: int) -> np.ndarray:
+        return np.minimum(1.0, times * count(mask) / n)
+
+    upper, lower = count(_UPPER), count(_LOWER)
+    again = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (place[1:] == place[:-1])], minlength=len(size))
+    return np.column_stack([
+        np.log1p(size) / 10,
+        np.log1p(n_words) / 10,
+        np.minimum(size / m, 30) / 30,
+        upper / np.maximum(1, upper + lower),
+        share(_ODD, 10),
+        share(_MARK, 5),
+        share(_DIGIT, 5),
+        share(_LINE, 20),
+        distinct / m,
+        again / m,
+        share(_BAR, 50),
+        share(_BANG, 20),
+    ])
+
+
+@dataclass
+class Features:
+    """Of a block of texts: measures of form, and their distinct words, text by text."""
+
+    dense: np.ndarray
+    ends: np.ndarray  # of each text's words among the following
+    words: np.ndarray  # hashes
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Features:
+        words = Words(texts)
+        coded = words.words.dictionary_encode()
+        named = np.array([xxhash.xxh32_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint32)
+        place = coded.indices.to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
+        pairs = np.sort(doc * max(1, len(named)) + place)
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+        distinct = np.bincount(pairs // max(1, len(named)), minlength=len(texts))
+        return cls(_dense(words, doc, place, distinct), np.cumsum(distinct), named[pairs % max(1, len(named))] if len(pairs) else named)
+
+    def own(self, k: int) -> np.ndarray:
+        return self.words[self.ends[k - 1] if k else 0 : self.ends[k]]
 
 
 def _labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in bpe.blocks(batches, "text", 4_000_000):
-        dense, words = zip(*_features(block.column("text").combine_chunks()), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(dense, pa.list_(pa.float64())), pa.array([w.tobytes() for w in words], pa.binary()), *(block.column(c).combine_chunks() for c in HEADS)], ["dense", "words", *HEADS])
+        f = Features.of(block.column("text").combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array(list(f.dense), pa.list_(pa.float64())), pa.array([np.sort(f.own(k)).tobytes() for k in range(len(f.ends))], pa.binary()), *(block.column(c).combine_chunks() for c in HEADS)], ["dense", "words", *HEADS])
 
 
 @dataclass
@@ -86,18 +119,23 @@ class Head:
     weights: np.ndarray
     base: float
 
-    def evidence(self, dense: list[float], words: np.ndarray) -> float:
-        """Log-likelihood ratio of one document."""
-        x = (np.array([*dense, *_told(self.words, self.odds, words)]) - self.mean) / self.scale
-        return float(np.clip(self.weights[0] + x @ self.weights[1:] - self.base, -30, 30))
+    def evidence(self, f: Features) -> np.ndarray:
+        """Log-likelihood ratio of each text."""
+        x = (np.hstack([f.dense, _told(self.words, self.odds, f.words, f.ends)]) - self.mean) / self.scale
+        return np.clip(self.weights[0] + x @ self.weights[1:] - self.base, -30, 30)
 
 
-def _told(lexicon: np.ndarray, odds: np.ndarray, words: np.ndarray) -> tuple[float, float]:
-    if not len(lexicon):
-        return 0.0, 0.0
+def _told(lexicon: np.ndarray, odds: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum and maximum (0 at least) of the odds of each text's words, of which ``ends`` says where they end."""
+    out = np.zeros((len(ends), 2))
+    if not len(lexicon) or not len(words):
+        return out
     at = np.minimum(np.searchsorted(lexicon, words), len(lexicon) - 1)
-    found = odds[at[lexicon[at] == words]]
-    return float(np.clip(found.sum(), -20, 20)), float(found.max(initial=0.0))
+    hit = np.flatnonzero(lexicon[at] == words)
+    text, own = np.searchsorted(ends, hit, side="right"), odds[at[hit]]
+    out[:, 0] = np.clip(np.bincount(text, own, minlength=len(ends)), -20, 20)
+    np.maximum.at(out[:, 1], text, own)
+    return out
 
 
 class Vocabulary:
@@ -136,7 +174,8 @@ def _fit(dense: np.ndarray, words: list[np.ndarray], vocabulary: Vocabulary, lab
     """Ridge logistic regression by Newton's steps."""
     lexicon, odds = vocabulary.telling(label, half)
     rest = np.flatnonzero(~half)
-    x = np.hstack([dense[rest], np.array([_told(lexicon, odds, words[k]) for k in rest]).reshape(-1, 2)])
+    own = [words[k] for k in rest]
+    x = np.hstack([dense[rest], _told(lexicon, odds, np.concatenate([np.zeros(0, np.uint32), *own]), np.cumsum([len(w) for w in own], dtype=np.int64))])
     y = label[rest]
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
@@ -153,9 +192,12 @@ def _fit(dense: np.ndarray, words: list[np.ndarray], vocabulary: Vocabulary, lab
 
 def _train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, list[Head]], dict[str, float]]:
     picked = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long"), (F.lit(1) - F.col("quality")).alias("low"), F.col("toxic").alias("toxic"))
+    picked = picked.join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")  # else labels of absent documents take places
     picked = picked.groupBy("doc_id").agg(F.max("low").cast("double").alias("low"), F.max("toxic").cast("double").alias("toxic"))
     sample = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # a bounded table
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").select("text", *HEADS).mapInArrow(_labelled, "dense array<double>, words binary, low double, toxic double").limit(LABELLED).collect()
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *(F.first(h).alias(h) for h in HEADS))
+    rows = one.select("text", *HEADS).mapInArrow(_labelled, "dense array<double>, words binary, low double, toxic double").collect()
     rows = [r for _, r in sorted({(r["words"], *(r[h] for h in HEADS)): r for r in rows}.items())]  # copies count once
     words = [np.frombuffer(r["words"], np.uint32) for r in rows]
     order = np.random.default_rng(7).permutation(len(rows))
@@ -173,11 +215,9 @@ def _train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, list[Head]], d
 def _evidence(heads: dict[str, list[Head]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in bpe.blocks(batches, "text", 4_000_000):
-            out = {h: [] for h in HEADS}
-            for dense, words in _features(block.column("text").combine_chunks()):
-                for h in HEADS:
-                    out[h].append(sum(x.evidence(dense, words) for x in heads[h]) / len(heads[h]) if h in heads else 0.0)
-            yield pa.RecordBatch.from_arrays([block.column("row").combine_chunks(), *(block.column(c).combine_chunks() for c in ("host", "path")), *(pa.array(out[h], pa.float64()) for h in HEADS)], ["row", "host", "path", *HEADS])
+            f = Features.of(block.column("text").combine_chunks())
+            out = [np.mean([x.evidence(f) for x in heads[h]], axis=0) if h in heads else np.zeros(block.num_rows) for h in HEADS]
+            yield pa.RecordBatch.from_arrays([*(block.column(c).combine_chunks() for c in ("row", "host", "path")), *map(pa.array, out)], ["row", "host", "path", *HEADS])
 
     return run
 
@@ -210,13 +250,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.4) -> DataF
     ``source`` names where a document comes from: its host is the part before the first slash (a
     scheme left out), its path the host with the first segment. A null source is a site of its
     own. Null and empty texts are judged by their form alone. Repeated rows count and are judged
-    each for itself; repeated labels count once and null labels not at all. Without labels of both
-    kinds there is no evidence and the rates are those of the labels; with none at all everything
-    is kept. An empty table gives no rows.
+    each for itself; repeated labels count once and null labels not at all. Of rows that share a
+    labelled doc_id the one whose text has the smallest hash teaches. Without labels of both kinds
+    there is no evidence and the rates are those of the labels; with none at all everything is
+    kept. An empty table gives no rows. Texts are judged whole, a few million bytes of text at a
+    time or one longer text.
 
     The classifiers are fitted on at most ``LABELLED`` documents; the rates cover all. Sites are
     aggregated before they travel, so a host with a third of all rows costs no more than another;
-    a path's rates go back to its rows by broadcast if there are few, else by a salted join.
+    a path's rates go back to its rows by broadcast if there are few paths or the path has many
+    documents, else by a join.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -243,10 +286,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.4) -> DataF
     sites = sites.select("host", "path", "n", *(F.col(h).alias(f"sum_{h}") for h in HEADS), *(f"prior_{h}" for h in HEADS))
     if paths.count() <= BROADCAST_PATHS:
         found = seen.join(F.broadcast(sites), ["host", "path"])
-    else:
-        salts = 32
-        salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = seen.withColumn("salt", F.pmod(F.xxhash64("low", "toxic", "row.doc_id"), F.lit(salts)).cast("int")).join(salted, ["host", "path", "salt"])
+    else:  # paths of very many documents are few: at most the number of all documents over HOT_PATH
+        hot = sites.where(F.col("n") >= HOT_PATH)
+        own = seen.join(F.broadcast(hot.select("host", "path")), ["host", "path"], "left_anti").join(sites.where(F.col("n") < HOT_PATH), ["host", "path"])
+        found = own.unionByName(seen.join(F.broadcast(hot), ["host", "path"]))
     out = {}
     for h in HEADS:
         rest = (worth[h] * F.col(f"prior_{h}") + F.col(f"sum_{h}") - alone(h)) / (worth[h] + F.col("n") - 1)
@@ -263,5 +306,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects; all else as it is."""
+    """``docs`` without the documents that the classifier rejects; all else as it is.
+
+    Null and empty texts and rows without doc_id are judged like others (see ``score_quality``), and
+    repeated rows stay or go together. Columns may have any names. An empty table gives no rows.
+    """
     return score_quality(docs, labels).where("keep").select(*(column(c, "row").alias(c) for c in docs.columns))
