@@ -25,7 +25,7 @@ from kindred.llm.fm_index import FMIndex
 WINDOW, LEAST_ITEMS = 8, 2
 #: Bytes of text that one shard indexes (one document at least), and bytes of benchmark texts that
 #: a worker holds at once; a larger benchmark is searched slice by slice.
-SHARD_BYTES, SLICE_BYTES = 6_000_000, 16_000_000
+SHARD_BYTES, SLICE_BYTES = 3_000_000, 16_000_000
 
 _LETTER = np.arange(256, dtype=np.uint8)
 _LETTER[65:91] += 32
@@ -202,7 +202,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     A null or empty text has no words and an item without words has no windows. An item id that is
     null counts as the empty string; items of one id count once. Repeated documents are searched
-    each for itself. Empty tables give no rows, or no hits. All columns of ``docs`` stay in ``row``.
+    each for itself. Empty tables give no rows, or no hits. All columns of ``docs`` stay in ``row``,
+    whatever their names. Texts are indexed whole: a longer one than SHARD_BYTES is a shard by itself.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -229,7 +230,10 @@ def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents, and with the spans of the others' occurrences
-    cut out of their ``text`` (``n_chars``, if there is such a column, is counted anew there)."""
+    cut out of their ``text`` (``n_chars``, if there is such a column, is counted anew there).
+
+    Null and empty texts stay as they are, repeated rows stay or go together, and an empty table
+    gives no rows."""
     marked = mark_contamination(docs, benchmark).where(~F.col("contaminated"))
     clean = marked.select("row", "spans").mapInArrow(_without, with_row(marked, "spans array<struct<start:int,end:int>>, clean string"))
     new = {"text": F.col("clean")}

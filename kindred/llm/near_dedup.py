@@ -353,8 +353,11 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     any names.
     """
     run = Tables(docs.sparkSession)
-    rows = _grouped(docs, shingle, percent, run).where("first").groupBy("doc_id", "digest")
-    first = run.write(rows.agg(F.min(F.struct("text_1", "text_2")).alias("text"), F.count("*").alias("n")), "first")
+    seen, _, first = _grouped(docs, shingle, percent, run)
+    same = seen["doc_id"].eqNullSafe(first["component_id"]) & (seen["digest"] == first["first_digest"])
+    worded = seen.join(first, same, "left_semi").groupBy("doc_id", "digest").agg(F.min(F.struct("text_1", "text_2")).alias("text"), F.count("*").alias("n"))
+    wordless = seen.where("n_shingles = 0").groupBy("doc_id", "digest", F.struct("text_1", "text_2").alias("text")).agg(F.lit(1).cast("long").alias("n"))
+    first = run.write(worded.unionByName(wordless), "first")
     own, named = {}, docs
     for c, of in zip(KEY, _keyed(docs), strict=True):
         own[c] = fresh(f"_{c}", named)
@@ -384,7 +387,10 @@ def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     common band, and 3e-7 for a low estimate. No bucket is cut: large ones are examined in more
     blocks. Texts are read whole, a few million bytes of text at a time or one longer text.
     """
-    return _grouped(docs, shingle, percent, Tables(docs.sparkSession)).select("doc_id", "n_shingles", "component_id", "kept")
+    seen, of_set, _ = _grouped(docs, shingle, percent, Tables(docs.sparkSession))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    out = seen.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left").select("doc_id", "n_shingles", component)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _salts(n: str | Column = "n") -> Column:
@@ -401,9 +407,9 @@ def _to_all_salts(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)))
 
 
-def _grouped(docs: DataFrame, shingle: int, percent: int, run: Tables) -> DataFrame:
-    """What ``find_groups`` gives, with digest (of the shingle set), the text's hashes and first:
-    whether a row has the doc_id and the shingle set that its group keeps."""
+def _grouped(docs: DataFrame, shingle: int, percent: int, run: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's doc_id, hashes of its text, n_shingles and digest (of its set); component_id by
+    digest; and of every component, component_id and first_digest, which it keeps."""
     spark = docs.sparkSession
     ship(spark)
     least = percent / 100 - SLACK
@@ -462,10 +468,4 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, run: Tables) -> DataFr
     named = classes.select("class_id", "digest", "min_doc").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", label)
     order = F.struct(F.col("min_doc").isNull(), "min_doc", "digest")
     first = named.groupBy("component").agg(F.min("min_doc").alias("component_id"), F.min_by("digest", order).alias("first_digest"))
-    of_set = named.join(first, "component").select("digest", "component_id", "first_digest")
-    out = seen.join(of_set, "digest", "left")
-    empty = F.col("n_shingles") == 0
-    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select(*KEY, "n_shingles", component.alias("component_id"), "digest", "first_digest")
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return out.select(*KEY, "n_shingles", "component_id", kept.alias("kept"), "digest", (empty | kept & (F.col("digest") == F.col("first_digest"))).alias("first"))
+    return seen.select(*KEY, "n_shingles", "digest"), named.join(first, "component").select("digest", "component_id"), first
