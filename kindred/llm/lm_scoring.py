@@ -31,7 +31,7 @@ from kindred.llm.decontamination import Words
 #: Smoothing spreads over all words, and over so many where there are fewer; unknown and start come on top.
 VOCABULARY = 65_534
 #: Weight of the unigram shares in the bigram model, in counts, and words of one block (of six bytes).
-PRIOR, BLOCK_WORDS = 50.0, 700_000
+PRIOR, BLOCK_WORDS = 50.0, 1_400_000
 #: Bytes of text for each partition of bigrams; one of words has four times as many.
 PART_BYTES = 10_000_000
 
@@ -71,9 +71,17 @@ def _whole(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part of sorted hashes begins, and their number; parts are equal ranges."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+def _parts(keys: np.ndarray, of: int) -> Iterator[tuple[int, int, int]]:
+    """Each part that has some of the sorted hashes, and where they begin and end; parts are equal ranges."""
+    part = (keys >> np.uint64(32)) * np.uint64(of) >> np.uint64(32)
+    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    ends = np.append(begins[1:], len(part))
+    yield from zip(part[begins].tolist(), begins.tolist(), ends.tolist(), strict=True)
+
+
+def _packed(keys: np.ndarray, part: int, of: int) -> bytes:
+    """Sorted hashes of a part: differences, the first from where the part begins."""
+    return _planes(np.diff(keys, prepend=np.uint64((part << 64) // of)))
 
 
 def _gather(most: int):
@@ -150,35 +158,59 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
 _COUNTS = ["n", "target", "last", "last_target"]
 
 
+def _facts(word_parts: int):
+    """Each block's distinct words, to the parts that they are in; the first of these rows has its totals too."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
+            chosen = lengths[np.asarray(row["chosen"] if row["chosen"] is not None else [], np.int64)]
+            keys = np.sort(np.frombuffer(row["words"], np.uint64))
+            own = [(p, _packed(keys[a:z], p, word_parts)) for p, a, z in _parts(keys, word_parts)]
+            totals = [lengths.sum(), chosen.sum(), (lengths > 0).sum(), (chosen > 0).sum()]
+            parts, packed = zip(*(own or [(0, _planes(keys))]), strict=True)
+            rest = [0] * (len(parts) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary()), *(pa.array([int(n), *rest], pa.int64()) for n in totals)], ["part", "keys", *_TOTALS])
+
+    return run
+
+
+_TOTALS = ["every", "chosen", "texts", "chosen_texts"]
+
+
+def _distinct(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys = np.sort(np.concatenate([np.cumsum(_whole(x), dtype=np.uint64) for x in pdf["keys"]]))
+    return pd.DataFrame({"n": [int((keys[1:] != keys[:-1]).sum()) + min(1, len(keys))], **{c: [pdf[c].sum()] for c in _TOTALS}})
+
+
 def _count(parts: int, word_parts: int):
-    """Each block's counts of bigrams, to the parts from 0 on, and of words, to those after; every part of words hears of every block."""
+    """Each block's counts of bigrams, to the parts from 0 on, and of words, to those after, that have some."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             b = Block(row)
             none = np.zeros(0, np.int64)
+            out = []
             for base, of, keys, counts in ((0, parts, b.keys, [*b.bigrams(), none, none]), (parts, word_parts, b.words[b.order], b.unigrams())):
-                cuts = _cuts(keys, of).tolist()
-                for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if z > a or base:
-                        packed = [_planes(np.diff(keys[a:z], prepend=np.uint64((p << 64) // of))), *(_planes(x[a:z]) for x in counts)]
-                        yield pa.RecordBatch.from_arrays([pa.array([base + p], pa.int32()), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in packed)], ["part", "block", "keys", *_COUNTS])
+                out += [(base + p, row["block"], _packed(keys[a:z], p, of), *(_planes(x[a:z]) for x in counts)) for p, a, z in _parts(keys, of)]
+            for k in range(0, len(out), 10_000):
+                part, block, *packed = zip(*out[k : k + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "block", "keys", *_COUNTS])
 
     return run
 
 
 def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sums of one part for each block's hashes (less where the part begins); totals are the number of its hashes and the sums of its counts."""
+    """The sums of one part for each block's hashes (less where the part begins)."""
     keys = [np.cumsum(_whole(x), dtype=np.uint64) for x in pdf["keys"]]
     ends = np.cumsum([len(x) for x in keys]).tolist()
     unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-    out, totals = {}, [len(unique)]
+    out = {}
     for c in _COUNTS:
         own = np.concatenate([_whole(x) for x in pdf[c]])
         sums = np.bincount(place, own, minlength=len(unique)).astype(np.uint64) if len(own) else np.zeros(0, np.uint64)
-        totals.append(int(sums.sum()))
         out[c] = [_planes(sums[place[a:z]]) if len(own) else _planes(sums) for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-    return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], **out, "totals": [np.array(totals, np.int64).tobytes()] * len(pdf)})
+    return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], **out})
 
 
 def _own(first: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
@@ -187,13 +219,13 @@ def _own(first: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
     return n[place]
 
 
-def _score(parts: int, vocabulary: int):
+def _score(parts: int, places: int, totals: list[int]):
     def run(head: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         b = Block(head.iloc[0])
         pairs, words = (sums[own].sort_values("part") for own in (sums["part"] < parts, sums["part"] >= parts))
         read = lambda rows, c: np.concatenate([np.zeros(0), *(_whole(x) for x in rows[c])]).astype(np.float64)
         n, target = read(pairs, "n"), read(pairs, "target")
-        n_words, every, chosen, texts, chosen_texts = np.sum([np.frombuffer(x, np.int64) for x in words["totals"]], axis=0).tolist()
+        every, chosen, texts, chosen_texts = totals
         by_word = np.zeros((4, len(b.words)))
         by_word[:, b.order] = [read(words, c) for c in _COUNTS]
         word, word_target = by_word[0], by_word[1]
@@ -202,7 +234,6 @@ def _score(parts: int, vocabulary: int):
         own = _own(b.doc, b.place, len(b.keys) + 1)
         own_word, own_before = (_own(b.doc, x, len(b.words) + 1) for x in (b.word, b.before))
         size = b.lengths[b.doc]
-        places = max(vocabulary, n_words) + 2
 
         def loss(pair, word, before, total, less, part) -> np.ndarray:
             """``part``: the model's share of all counts; smoothing by it matches models of unlike size."""
@@ -234,7 +265,10 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     A null or empty text has no tokens and a score of 0. Ids that repeat in ``docs`` are documents
     each for itself; in ``target`` they count once, and null or unknown ids not at all. Without a
     target document the target model is uniform. Empty tables give no rows. Further columns don't
-    matter.
+    matter. Very long texts are read whole: one that exceeds a block is a block by itself.
+
+    A block sends a row to each part that has some of its hashes, so rows and time grow with the
+    blocks' distinct words and bigrams, not with blocks times parts. The driver gets five numbers.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -247,7 +281,13 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     placed = made.mapInArrow(_places, "block long, place int, doc_id long").join(chosen, "doc_id")
     blocks = made.join(placed.groupBy("block").agg(F.collect_list("place").alias("chosen")), "block", "left")
 
+    totals_kinds = ", ".join(f"{c} long" for c in _TOTALS)
+    facts = blocks.select("lengths", "words", "chosen").mapInArrow(_facts(word_parts), f"part int, keys binary, {totals_kinds}")
+    facts = facts.groupBy("part").applyInPandas(_distinct, f"n long, {totals_kinds}").agg(F.sum("n"), *(F.sum(c) for c in _TOTALS)).first()
+    n_words, *totals = (int(x or 0) for x in facts)
+    places = max(VOCABULARY, n_words) + 2
+
     counts = ", ".join(f"{c} binary" for c in _COUNTS)
     sent = blocks.mapInArrow(_count(parts, word_parts), f"part int, block long, keys binary, {counts}")
-    sums = sent.groupBy("part").applyInPandas(_sum, f"block long, part int, {counts}, totals binary")
-    return blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(_score(parts, VOCABULARY), SCORES)
+    sums = sent.groupBy("part").applyInPandas(_sum, f"block long, part int, {counts}")
+    return blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(_score(parts, places, totals), SCORES)
