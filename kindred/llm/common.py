@@ -77,7 +77,7 @@ def table(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Tables:
+class Workspace:
     """Intermediate tables of one run, which go when the run no longer needs them."""
 
     def __init__(self, spark: SparkSession):

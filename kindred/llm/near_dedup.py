@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe
-from kindred.llm.common import Tables, fresh, ship
+from kindred.llm.common import Workspace, fresh, ship
 from kindred.llm.graph import components
 
 ROWS, BANDS, BITS = 5, 40, 4
@@ -352,7 +352,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     null or empty, is in no group: all such rows stay. An empty table gives no rows; columns may have
     any names.
     """
-    run = Tables(docs.sparkSession)
+    run = Workspace(docs.sparkSession)
     seen, _, first = _grouped(docs, shingle, percent, run)
     same = seen["doc_id"].eqNullSafe(first["component_id"]) & (seen["digest"] == first["first_digest"])
     worded = seen.join(first, same, "left_semi").groupBy("doc_id", "digest").agg(F.min(F.struct("text_1", "text_2")).alias("text"), F.count("*").alias("n"))
@@ -387,7 +387,7 @@ def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     common band, and 3e-7 for a low estimate. No bucket is cut: large ones are examined in more
     blocks. Texts are read whole, a few million bytes of text at a time or one longer text.
     """
-    seen, of_set, _ = _grouped(docs, shingle, percent, Tables(docs.sparkSession))
+    seen, of_set, _ = _grouped(docs, shingle, percent, Workspace(docs.sparkSession))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     out = seen.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left").select("doc_id", "n_shingles", component)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -407,7 +407,7 @@ def _to_all_salts(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)))
 
 
-def _grouped(docs: DataFrame, shingle: int, percent: int, run: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, shingle: int, percent: int, run: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each row's doc_id, hashes of its text, n_shingles and digest (of its set); component_id by
     digest; and of every component, component_id and first_digest, which it keeps."""
     spark = docs.sparkSession

@@ -197,6 +197,7 @@ def test_sparse_sites_shrink(spark):
 def test_neighbours(spark, monkeypatch, n):
     monkeypatch.setattr(nearest, "VECTOR_BLOCK", 64)
     monkeypatch.setattr(nearest, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(nearest, "LEAST_BLOCK", 50)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(n, 16)) + rng.integers(0, 4, n)[:, None]
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(n + 1, x[0].tolist()), (n + 2, x[0].tolist())]
@@ -221,12 +222,38 @@ def test_neighbours(spark, monkeypatch, n):
     assert nearest.search(df.limit(0)).count() == 0
 
 
+def test_recall_against_exact_answer(spark):
+    """All queries of sf0.1, each against all vectors."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    got = defaultdict(set)
+    for r in nearest.search(df, every=20, top=20).collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.flatnonzero(ids % 20 == 0)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    right = [len(got[int(ids[q])] & set(ids[np.argsort(-s)[:20]].tolist())) for q, s in zip(asked, scores, strict=True)]
+    assert len(asked) == 100 and sum(right) / (20 * len(asked)) >= 0.9
+
+
+def test_huge_components(spark):
+    rows = [(k, [1e200 * (k % 3), float(k), -1.0]) for k in range(1, 50)] + [(100, [1e300, 1e300, 1.0])]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, top=3).collect()
+    assert {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in (20, 40, 100) for k in (1, 2, 3)}
+    with np.errstate(all="ignore"):
+        score = {(q, i): float((np.array(dict(rows)[q]) * np.array(v)).sum()) for q in (20, 40, 100) for i, v in rows if i != q}
+    for q in (20, 40, 100):
+        best = sorted((-score[q, i], i) for i, _ in rows if i != q)[:3]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == best
+
+
 def test_tables_find_all_within_radius():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 1 << 32, (500, 8), dtype=np.uint64).astype(np.uint32)
+    codes = rng.integers(0, 1 << 32, (9000, 8), dtype=np.uint64).astype(np.uint32)
     codes[:50] = codes[0] ^ (np.uint32(1) << rng.integers(0, 32, (50, 8), dtype=np.uint32))
     tables = nearest.Tables(codes)
-    for radius in (0, 3, 7, 8, 20, 110, 130):
+    for radius in (0, 3, 7, 8, 20, 31, 110, 130):
         away = np.bitwise_count(codes ^ codes[0]).sum(axis=1)
         assert tables.within(codes[0], radius).tolist() == np.flatnonzero(away <= radius).tolist()
 
