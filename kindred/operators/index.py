@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -66,7 +66,7 @@ def merged_key(key) -> tuple:
 class SearchIndex:
     """Postings, the queries they point to, and word vectors."""
 
-    postings: DataFrame
+    postings: DataFrame  # ngram, query_id, score and, where it was loaded, shard
     dims: Dimensions
     corpus: DataFrame | None = None
     vectors: DataFrame | None = None  # word string, vec array<float>
@@ -76,22 +76,43 @@ class SearchIndex:
     def has_corpus(self) -> bool:
         return self.corpus is not None
 
+    def narrowed(self, ngrams: list[str]) -> SearchIndex:
+        """The same with the lists of some n-grams only. Of a loaded index their shards alone are
+        read, and there the row groups that can have them."""
+        wanted = sorted(set(ngrams))
+        postings = self.postings.where(F.col("ngram").isin(wanted))
+        if "shard" in postings.columns:
+            spark = postings.sparkSession
+            shards = [r[0] for r in spark.createDataFrame([(x,) for x in wanted] or [("",)], "ngram string").select(shard_of(F.col("ngram"), self.shards)).distinct().collect()]
+            postings = postings.where(F.col("shard").isin(shards))
+        return replace(self, postings=postings)
+
+    def lookup(self, ngrams: list[str]) -> DataFrame:
+        """ngram, query_id and score of the lists of some n-grams."""
+        return self.narrowed(ngrams).postings.select("ngram", "query_id", "score")
+
     def write(self, path: str, table: str | None = None) -> None:
-        """Parquet under ``path``, by shard and sorted by n-gram, with a bloom filter on it. With
-        ``table`` the postings also become a bucketed table of that name."""
-        marked = self.postings.withColumn("shard", shard_of(F.col("ngram"), self.shards))
-        out = marked.repartition("shard").sortWithinPartitions("shard", "ngram", F.desc("score")).write.mode("overwrite")
-        out.option("parquet.bloom.filter.enabled#ngram", "true").partitionBy("shard").parquet(f"{path}/postings")
+        """Parquet under ``path``, by shard and sorted by n-gram, with a bloom filter on it. Ranges
+        of shard and n-gram are dealt to tasks, so a large shard has several files. With ``table``
+        the postings also become a bucketed table of that name."""
+        write_postings(self.postings.withColumn("shard", shard_of(F.col("ngram"), self.shards)), f"{path}/postings")
+        self.write_rest(path)
+        if table:
+            self.postings.write.mode("overwrite").bucketBy(self.shards, "ngram").sortBy("ngram").saveAsTable(table)
+
+    def write_rest(self, path: str) -> None:
+        """What an index has beside its postings."""
+        spark = self.postings.sparkSession
+        spark.createDataFrame([(self.shards,)], "shards int").write.mode("overwrite").parquet(f"{path}/layout")
         frames = {"terms": self.dims.terms, "stopwords": self.dims.stopwords, "toponyms": self.dims.toponyms, "synonyms": self.dims.synonyms, "corpus": self.corpus, "vectors": self.vectors}
         for name, df in frames.items():
             if df is not None:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
-        if table:
-            self.postings.write.mode("overwrite").bucketBy(self.shards, "ngram").sortBy("ngram").saveAsTable(table)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, shards: tuple[int, int] | None = None, n_shards: int = SHARDS) -> SearchIndex:
-        """``shards``: from and to (half-open); only those are read."""
+    def load(cls, spark: SparkSession, path: str, shards: tuple[int, int] | None = None) -> SearchIndex:
+        """``shards``: from and to (half-open); only those are read. It is an error if there is no
+        index at ``path`` or no shard in the range."""
         jvm = spark.sparkContext._jvm
 
         def read(name: str) -> DataFrame | None:
@@ -99,8 +120,34 @@ class SearchIndex:
             fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
             return spark.read.parquet(f"{path}/{name}") if fs.exists(at) else None
 
-        postings = spark.read.parquet(f"{path}/postings")
+        postings, terms, stopwords = (read(name) for name in ("postings", "terms", "stopwords"))
+        if postings is None or terms is None or stopwords is None:
+            raise ValueError(f"no index in {path}")
+        layout = read("layout")
+        n_shards = layout.first()["shards"] if layout is not None else SHARDS
         if shards:
+            if not 0 <= shards[0] < shards[1] <= n_shards:
+                raise ValueError(f"shards {shards[0]} to {shards[1]} of {n_shards}")
             postings = postings.where(F.col("shard").between(shards[0], shards[1] - 1))
-        dims = Dimensions(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stopwords"), read("toponyms"), read("synonyms"))
-        return cls(postings.drop("shard"), dims, read("corpus"), read("vectors"), n_shards)
+        return cls(postings, Dimensions(terms, stopwords, read("toponyms"), read("synonyms")), read("corpus"), read("vectors"), n_shards)
+
+
+def write_postings(marked: DataFrame, path: str, others_stay: bool = False) -> None:
+    """Postings with their shards, as an index has them; with ``others_stay`` in place of these
+    shards only."""
+    dealt = marked.repartitionByRange("shard", "ngram").sortWithinPartitions("shard", "ngram", F.desc("score"))
+    out = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if others_stay else "static")
+    out.option("parquet.bloom.filter.enabled#ngram", "true").partitionBy("shard").parquet(path)
+
+
+def write_dictionary(spark: SparkSession, path: str) -> None:
+    """One dictionary of an index's shards, sorted, beside its postings."""
+    keyed = spark.read.parquet(f"{path}/postings").groupBy("ngram", "shard").agg(F.count("*").alias("len"))
+    key = F.concat("ngram", F.lit("\0\0"), F.col("shard").cast("string")).alias("key")
+    keyed.select(key, "ngram", "shard", "len").orderBy("ngram", "shard").write.mode("overwrite").parquet(f"{path}/dictionary")
+
+
+def counters(corpus: DataFrame, postings: DataFrame) -> DataFrame:
+    """How much there is: n_queries, n_postings, n_ngrams and the longest list."""
+    lists = dictionary(postings).agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n_postings"), F.count("*").alias("n_ngrams"), F.max("len").alias("longest"))
+    return corpus.agg(F.count("*").alias("n_queries")).crossJoin(F.broadcast(lists))  # a row each

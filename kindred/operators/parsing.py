@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from kindred.functions.text import MISSING_RELEVANCE
 from kindred.operators import kernel
@@ -22,21 +23,30 @@ PARSED = f"ngrams array<{NGRAM}>, words array<string>, wrs array<double>, must_h
 
 @dataclass
 class Dimensions:
-    """The tables a query's words are looked up in. ``synonyms`` is small by nature: it is a
-    hand-made list, and is checked to be one."""
+    """The tables a query's words are looked up in.
+
+    They are taken to be the same as long as this object is in use: small ones are collected once.
+    """
 
     terms: DataFrame  # word string, rel bigint
     stopwords: DataFrame  # word string
     toponyms: DataFrame | None = None  # word string
     synonyms: DataFrame | None = None  # word string, synonym string
-
-    def dictionary(self) -> dict[str, str]:
-        if self.synonyms is None:
-            return {}
-        rows = self.synonyms.select("word", "synonym").limit(BROADCAST_ROWS + 1).collect()
-        if len(rows) > BROADCAST_ROWS:
-            raise ValueError(f"more than {BROADCAST_ROWS} synonyms")
-        return {r["word"]: r["synonym"] for r in rows}
+    _held: dict[int, tuple | None] = field(default_factory=dict, repr=False, compare=False)
+
+    def broadcasts(self, limit: int) -> tuple | None:
+        """Relevances, stopwords, toponyms and synonyms on all workers, or nothing if one of the
+        tables has more than ``limit`` rows."""
+        if limit not in self._held:
+            spark, found = self.terms.sparkSession, []
+            for df, columns in ((self.terms, ("word", "rel")), (self.stopwords, ("word",)), (self.toponyms, ("word",)), (self.synonyms, ("word", "synonym"))):
+                rows = df.select(*columns).limit(limit + 1).toArrow().to_pydict() if df is not None else {c: [] for c in columns}
+                if len(rows["word"]) > limit:
+                    self._held[limit] = None
+                    return None
+                found.append(dict(zip(*rows.values(), strict=True)) if len(columns) > 1 else set(rows["word"]))
+            self._held[limit] = tuple(map(spark.sparkContext.broadcast, found))
+        return self._held[limit]
 
 
 _TYPE = pa.struct([
@@ -59,66 +69,73 @@ def _out(batch: pa.RecordBatch, records: list[dict]) -> pa.RecordBatch:
 
 def _with_tables(mode: str, terms, stops, toponyms, dictionary):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = kernel.Lookup(terms.value.get, stops.value.__contains__, toponyms.value.__contains__, dictionary)
+        look = kernel.Lookup(terms.value.get, stops.value.__contains__, toponyms.value.__contains__, dictionary.value)
         for b in batches:
             yield _out(b, [_record(kernel.parse(q, mode, look)) for q in b.column("query").to_pylist()])
 
     return run
 
 
-def _words(mode: str, dictionary: dict[str, str]):
+def _words(mode: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for q in b.column("query").to_pylist():
-                words, synonyms = kernel.tokenize(q or "", mode, dictionary)
-                out.append(sorted({*words, *synonyms.values(), *(dictionary[w] for w in words if w in dictionary)}))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("key"), pa.array(out, pa.list_(pa.string()))], ["row", "key", "found"])
+                words, glued = kernel.tokenize(q or "", mode, {})
+                out.append(sorted({*words, *glued.values()}))
+            yield pa.RecordBatch.from_arrays([b.column("query"), pa.array(out, pa.list_(pa.string()))], ["query", "found"])
 
     return run
 
 
-def _with_facts(mode: str, dictionary: dict[str, str]):
+def _with_facts(mode: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             records = []
             for q, facts in zip(b.column("query").to_pylist(), b.column("facts").to_pylist(), strict=True):
-                rel = {f["word"]: f["rel"] for f in facts or ()}
-                stop = {f["word"] for f in facts or () if f["stop"]}
-                place = {f["word"] for f in facts or () if f["toponym"]}
-                records.append(_record(kernel.parse(q, mode, kernel.Lookup(rel.get, stop.__contains__, place.__contains__, dictionary))))
+                facts = facts or ()
+                rel = {f["word"]: f["rel"] for f in facts}
+                stop = {f["word"] for f in facts if f["stop"]}
+                place = {f["word"] for f in facts if f["toponym"]}
+                other = {f["word"]: f["synonym"] for f in facts if f["synonym"] is not None}
+                records.append(_record(kernel.parse(q, mode, kernel.Lookup(rel.get, stop.__contains__, place.__contains__, other))))
             yield _out(b, records)
 
     return run
 
 
-def _small(df: DataFrame | None, limit: int) -> list | None:
-    if df is None:
-        return []
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def _facts(queries: DataFrame, dims: Dimensions, mode: str) -> DataFrame:
+    """What the tables say about each query's words and their synonyms. Tables meet the distinct
+    words only; a frequent word's facts then go to its queries by a join that Spark can split."""
+    spark = queries.sparkSession
+    none = lambda kinds: spark.createDataFrame([], kinds)
+    flag = lambda df, name: (df if df is not None else none("word string")).select("word").distinct().withColumn(name, F.lit(True))
+    own = queries.select("query").distinct().mapInArrow(_words(mode), "query string, found array<string>").select("query", F.explode("found").alias("word"))
+    synonyms = (dims.synonyms if dims.synonyms is not None else none("word string, synonym string")).select("word", "synonym")
+    paired = own.select("word").distinct().join(synonyms, "word", "left")
+    pairs = own.join(paired, "word")
+    every = pairs.select("query", "word", "synonym").unionByName(pairs.where("synonym is not null").select("query", F.col("synonym").alias("word"), F.lit(None).cast("string").alias("synonym")))
+    known = every.select("word").distinct().join(dims.terms.select("word", "rel"), "word", "left").join(flag(dims.stopwords, "stop"), "word", "left").join(flag(dims.toponyms, "toponym"), "word", "left")
+    facts = every.join(known, "word").groupBy("query", "word").agg(F.first("rel").alias("rel"), F.max("synonym").alias("synonym"), F.first("stop").alias("stop"), F.first("toponym").alias("toponym"))
+    row = F.struct("word", "rel", "synonym", F.coalesce("stop", F.lit(False)).alias("stop"), F.coalesce("toponym", F.lit(False)).alias("toponym"))
+    return facts.groupBy("query").agg(F.collect_list(row).alias("facts"))
 
 
 def parse(queries: DataFrame, dims: Dimensions, mode: str = kernel.INDEX, column: str = "query", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``queries`` with the columns of PARSED. A null query has no words and no n-grams."""
-    spark: SparkSession = queries.sparkSession
-    dictionary = dims.dictionary()
-    given = queries.select(F.struct(*(F.col(f"`{c}`") for c in queries.columns)).alias("row"), F.col(column).alias("query"))
-    row = given.schema["row"].dataType.simpleString()
-    terms, stops, places = (_small(x, broadcast_rows) for x in (dims.terms.select("word", "rel"), dims.stopwords.select("word"), dims.toponyms and dims.toponyms.select("word")))
-    if terms is not None and stops is not None and places is not None:
-        sc = spark.sparkContext
-        tables = sc.broadcast({r["word"]: r["rel"] for r in terms}), sc.broadcast({r["word"] for r in stops}), sc.broadcast({r["word"] for r in places})
-        parsed = given.mapInArrow(_with_tables(mode, *tables, dictionary), f"row {row}, {PARSED}")
+    """``queries`` with the columns of PARSED. A null query has no words and no n-grams.
+
+    Tables of at most ``broadcast_rows`` rows each go to the workers whole, once for ``dims``; with
+    any larger one, of which there is no limit, the queries' words are joined with the tables. Both
+    ways give the same. Columns may have any names.
+    """
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    given = queries.select(F.struct(*(quoted(c).alias(c) for c in queries.columns)).alias("row"), quoted(column).alias("query"))
+    kinds = StructType([StructField("row", given.schema["row"].dataType), *StructType.fromDDL(PARSED)])
+    tables = dims.broadcasts(broadcast_rows)
+    if tables is not None:
+        parsed = given.mapInArrow(_with_tables(mode, *tables), kinds)
     else:
-        keyed = given.withColumn("key", F.xxhash64("query"))
-        needed = given.select(F.col("query").alias("row"), F.xxhash64("query").alias("key"), "query").distinct().mapInArrow(_words(mode, dictionary), "row string, key bigint, found array<string>")
-        pairs = needed.select(F.col("row").alias("query"), F.explode("found").alias("word"))
-        facts = pairs.join(dims.terms.select("word", "rel"), "word", "left").join(dims.stopwords.select("word").distinct().withColumn("stop", F.lit(True)), "word", "left")
-        places = dims.toponyms.select("word").distinct().withColumn("toponym", F.lit(True)) if dims.toponyms is not None else spark.createDataFrame([], "word string, toponym boolean")
-        facts = facts.join(places, "word", "left").groupBy("query").agg(F.collect_list(F.struct("word", "rel", F.coalesce("stop", F.lit(False)).alias("stop"), F.coalesce("toponym", F.lit(False)).alias("toponym"))).alias("facts"))
-        joined = keyed.join(facts, "query", "left").select("row", "query", "facts")
-        parsed = joined.mapInArrow(_with_facts(mode, dictionary), f"row {row}, {PARSED}")
+        parsed = given.join(_facts(given, dims, mode), "query", "left").select("row", "query", "facts").mapInArrow(_with_facts(mode), kinds)
     return parsed.select("row.*", *(f.name for f in _TYPE))
 
 

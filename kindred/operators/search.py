@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text
+from kindred.functions.hashing import shard_of
 from kindred.operators import kernel
-from kindred.operators.index import SearchIndex
+from kindred.operators.index import SHARDS, SearchIndex
 from kindred.operators.parsing import parse
 from kindred.operators.rerank import cosine_of
 
@@ -33,16 +34,20 @@ def hit_weight(score: Column, query_rel: Column, with_tfidf: bool) -> Column:
     return F.when(query_rel > 0, F.least(score / 100.0, query_rel) / query_rel).otherwise(F.lit(0.0))
 
 
-def keyword_matches(parsed: DataFrame, postings: DataFrame, with_tfidf: bool = False) -> DataFrame:
+def keyword_matches(parsed: DataFrame, postings: DataFrame, with_tfidf: bool = False, shards: int = SHARDS) -> DataFrame:
     """qid, query_id and keyword distance of all stored queries that share an n-gram, have all
     words that must be there, and are nearer than MAX_DISTANCE.
 
-    The n-grams of the queries are looked up by an equi-join; a list has at most its cap, so a
+    The n-grams of the queries are looked up by an equi-join, on the shard too where postings have
+    it, so that a small batch reads the shards of its own n-grams; a list has at most its cap, so a
     query meets at most its n-grams times the cap. Of several n-grams with a word the first with a
     weight counts.
     """
     grams = parsed.select("qid", F.explode("ngrams").alias("n")).select("qid", F.col("n.ngram").alias("ngram"), F.col("n.rel").alias("rel"), F.col("n.word_ids").alias("word_ids"), F.col("n.pos").alias("pos"))
-    hits = grams.join(postings, "ngram").select("qid", "query_id", "pos", F.explode(F.array_distinct("word_ids")).alias("word_id"), hit_weight(F.col("score"), F.col("rel"), with_tfidf).alias("w"))
+    key = ["ngram"]
+    if "shard" in postings.columns:
+        grams, key = grams.withColumn("shard", shard_of(F.col("ngram"), shards)), ["shard", "ngram"]
+    hits = grams.join(postings, key).select("qid", "query_id", "pos", F.explode(F.array_distinct("word_ids")).alias("word_id"), hit_weight(F.col("score"), F.col("rel"), with_tfidf).alias("w"))
     covered = hits.where("w > 0").groupBy("qid", "query_id", "word_id").agg(F.min_by("w", "pos").alias("w"))
     facts = parsed.select("qid", "wrs", "must_have")
     found = covered.groupBy("qid", "query_id").agg(F.map_from_entries(F.collect_list(F.struct("word_id", "w"))).alias("covered")).join(facts, "qid")
@@ -96,7 +101,7 @@ def search(queries: DataFrame, index: SearchIndex, count: int = 100, with_tfidf:
     if count < 1:
         return spark.createDataFrame([], schema)
     parsed = parsed_queries(queries, index)
-    pool = _pool(parsed, keyword_matches(parsed, index.postings, with_tfidf), index, count)
+    pool = _pool(parsed, keyword_matches(parsed, index.postings, with_tfidf, index.shards), index, count)
     pool = pool.withColumn("keyword0", F.col("keyword")).withColumn("keyword", refund(F.col("keyword0")))
     ranked = cosine_of(pool, index.vectors, index.dims)
     by = Window.partitionBy("qid").orderBy(F.coalesce("cosine", "keyword"), "query_id")

@@ -73,7 +73,9 @@ def _cos(a: str, b: str) -> str:
     return f"CASE WHEN {size} > 0 THEN 1 - greatest(0, least(1, list_dot_product({a}, {b}) / ({size}))) END"
 
 
-_RERANK = f"""{_PAIRS}, {_VECTORS}, {_OVERLAP},
+def _rerank(near: str, last: str = "") -> str:
+    """Cosine distances of what ``near`` has: qid, cand_id, q, c, keyword."""
+    return f"""{near}, {_VECTORS},
 sets AS (SELECT qid, cand_id, keyword AS k, q, c, list_filter(q, lambda w: list_contains(c, w)) AS m, list_filter(q, lambda w: NOT list_contains(c, w)) AS s, list_filter(c, lambda w: NOT list_contains(q, w)) AS x FROM near),
 known AS (SELECT list(word) AS ws FROM word_vecs),
 lone AS (SELECT DISTINCT l FROM (SELECT unnest([q, c, m, s, x]) AS l FROM sets)),
@@ -89,7 +91,37 @@ WHEN um = m THEN CASE WHEN s > m OR x > m THEN least(apart * (1 + k), 1) ELSE ap
 WHEN us = s AND ux = x THEN NULL
 WHEN us = s THEN CASE WHEN c IS NULL THEN NULL WHEN m >= 2 AND s = 0 AND x < 2 AND k < 0.3 THEN c * k WHEN m >= 2 AND m > s AND m > x AND k < 0.45 AND ux + um + us <= 1 THEN c * k / (k + c) ELSE least(c + (ux + um + us) * k / (s + x), 1) END
 WHEN ux = x THEN CASE WHEN c IS NULL THEN NULL WHEN m >= 2 AND s < 2 AND x = 0 AND k < 0.3 THEN c * k WHEN m >= 2 AND m > s AND m > x AND k < 0.45 AND ux + um + us <= 1 THEN c * k / (k + c) ELSE least(c + (ux + um + us) * k / (s + x), 1) END
-WHEN x >= 1 AND s >= 1 AND m <= 2 AND k > 0.45 THEN 1.3 * t + extra WHEN x <= 2 AND s <= 2 AND m > x AND k <= 0.45 THEN 0.75 * t + extra ELSE t + extra END, 6) AS cosine FROM bounds"""
+WHEN x >= 1 AND s >= 1 AND m <= 2 AND k > 0.45 THEN 1.3 * t + extra WHEN x <= 2 AND s <= 2 AND m > x AND k <= 0.45 THEN 0.75 * t + extra ELSE t + extra END, 6) AS cosine{last} FROM bounds"""
+
+_FOUND_PAIRS = f"""{_search(False)}, near AS (SELECT f.qid, f.query_id AS cand_id, string_split(a.query, ' ') AS q, string_split(n.query, ' ') AS c, f.keyword FROM found f JOIN asked a USING (qid) JOIN names n USING (query_id))"""
+
+#: Names with a third word; of three words without stopwords all pairs are n-grams, those of neighbours
+#: with their whole share, and the first of them, and the second from 0.8 of it on.
+_THREE = f"""{_NAMES}, three AS (SELECT query_id, split_part(query, ' ', 1) AS a, split_part(query, ' ', 2) AS b, v.word AS c FROM names JOIN vocab v ON v.k = query_id % 16 + 1
+WHERE v.word NOT IN (split_part(query, ' ', 1), split_part(query, ' ', 2)) AND greatest(length(split_part(query, ' ', 1)), length(split_part(query, ' ', 2)), length(v.word)) > 4)"""
+
+_THREE_SHARES = f"""{_THREE}, placed AS (SELECT query_id, unnest([a, b, c]) AS word, unnest([0, 1, 2]) AS place FROM three),
+shares AS (SELECT query_id, p.word, place, rel / sum(rel) OVER (PARTITION BY query_id)::DOUBLE AS share, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, place) AS nth FROM placed p JOIN vocab USING (word)),
+ranked AS (SELECT query_id, max(word) FILTER (WHERE nth = 1) AS w0, max(word) FILTER (WHERE nth = 2) AS w1, max(share) FILTER (WHERE nth = 1) AS s0, max(share) FILTER (WHERE nth = 2) AS s1, min(share) AS s2 FROM shares GROUP BY query_id)"""
+
+_THREE_NGRAMS = f"""WITH {_THREE_SHARES}
+SELECT x.query_id, least(x.word, y.word) || ' ' || greatest(x.word, y.word) AS ngram, round((1 - (y.place - x.place - 1) / 100::DOUBLE) * (x.share + y.share), 6) AS rel, x.place + y.place - 1 AS pos FROM shares x JOIN shares y ON x.query_id = y.query_id AND x.place < y.place
+UNION ALL SELECT query_id, w0, round(s0, 6), 3 FROM ranked UNION ALL SELECT query_id, w1, round(s1, 6), 4 FROM ranked WHERE s1 > 0.8 * s0"""
+
+#: The stopword counts half and stands with the word after it, at the end with the one before; between
+#: two words with the latter, unless the former is four times as long.
+_STOP_UNITS = f"""WITH {_THREE}, stopped AS (SELECT t.*, query_id % 3 AS spot FROM three t WHERE c IN (SELECT word FROM vocab WHERE k % 5 = 0) AND a NOT IN (SELECT word FROM vocab WHERE k % 5 = 0) AND b NOT IN (SELECT word FROM vocab WHERE k % 5 = 0)),
+sums AS (SELECT s.*, u.rel::DOUBLE AS ra, v.rel::DOUBLE AS rb, w.rel / 2.0::DOUBLE AS rc, spot = 0 OR spot = 1 AND length(a) >= 4 * length(b) AS with_a FROM stopped s JOIN vocab u ON u.word = a JOIN vocab v ON v.word = b JOIN vocab w ON w.word = c),
+units AS (SELECT *, ra + rb + rc AS total, CASE WHEN with_a THEN a ELSE b END AS mate, CASE WHEN with_a THEN b ELSE a END AS other, CASE WHEN with_a THEN ra ELSE rb END + rc AS own FROM sums),
+texts AS (SELECT *, least(c, mate) || ' ' || greatest(c, mate) AS unit FROM units),
+ranks AS (SELECT query_id, word, r / total AS share, row_number() OVER (PARTITION BY query_id ORDER BY r DESC) AS nth FROM (SELECT query_id, total, unnest([a, b, c]) AS word, unnest([ra, rb, rc]) AS r FROM texts)),
+best AS (SELECT x.query_id, x.word AS w0, x.share AS s0, y.word AS w1, y.share AS s1 FROM ranks x JOIN ranks y ON x.query_id = y.query_id AND x.nth = 1 AND y.nth = 2)
+SELECT query_id, ngram, round(rel, 6) AS rel FROM (SELECT query_id, unit AS ngram, own / total AS rel, 0 AS k FROM texts WHERE own / total > 0.6
+UNION ALL SELECT query_id, least(unit, other) || ' ' || greatest(unit, other), 1.0, 1 FROM texts
+UNION ALL SELECT query_id, w0, s0, 2 FROM best UNION ALL SELECT query_id, w1, s1, 3 FROM best WHERE s1 > 0.8 * s0
+UNION ALL SELECT query_id, least(w0, w1) || ' ' || greatest(w0, w1), s0 + s1, 4 FROM best) QUALIFY row_number() OVER (PARTITION BY query_id, ngram ORDER BY k) = 1"""
+
+_NAME_POSTINGS = f"{_NAMES}, {_sides('stored', 'names', 'query_id')}, own_postings AS (SELECT ngram, id AS query_id, CAST(least(round(100 * rel), 255) AS BIGINT) AS score FROM stored_grams)"
 
 _DOC_POSTINGS = f"""{_WORDS}, counted AS (SELECT word AS ngram, doc_id AS query_id, least(count(*), 255) AS score FROM used GROUP BY ALL),
 capped AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY ngram ORDER BY score DESC, query_id DESC) <= 50)"""
@@ -146,7 +178,7 @@ SELECT qid, cand_id, round(greatest(0, 0.9::DOUBLE - 0.9::DOUBLE * back), 6) AS
     "vec_cosine": f"""WITH {_COMBINED}, v AS (SELECT query_id, list(x ORDER BY place) AS v FROM combined GROUP BY query_id)
 SELECT a.query_id, b.query_id AS other_id, round({_cos("a.v", "b.v")}, 6) AS cosine FROM v a, v b""",
     "pair_distances": f"WITH {_PAIRS}, {_OVERLAP} SELECT qid, cand_id, round(keyword, 6) AS keyword FROM near",
-    "vec_diff_rerank": f"WITH {_RERANK}",
+    "vec_diff_rerank": f"WITH {_rerank(f'{_PAIRS}, {_OVERLAP}')}",
     "synonym_variants": f"""WITH {_NAMES}, {_sides("stored", "names", "query_id")}, alt AS (SELECT word, 'alt' || word AS synonym, k FROM vocab WHERE k % 3 = 0),
 two AS (SELECT t.query_id AS id, split_part(query, ' ', 1) AS a, split_part(query, ' ', 2) AS b FROM names t),
 full0 AS (SELECT two.*, x.synonym AS sa, y.synonym AS sb, CASE WHEN x.word IS NULL THEN u.rel ELSE greatest(u.rel, 6666) END AS ra, CASE WHEN y.word IS NULL THEN v.rel ELSE greatest(v.rel, 6666) END AS rb
@@ -160,4 +192,31 @@ SELECT id AS query_id, ngram, round(rel, 6) AS rel FROM grams""",
     "toponym_must_have": f"""WITH {_NAMES}, {_sides("stored", "names", "query_id")}, places AS (SELECT word FROM vocab WHERE k % 4 = 1),
 p AS (SELECT *, CASE WHEN w0 IN (SELECT word FROM places) THEN w0 WHEN w1 IN (SELECT word FROM places) THEN w1 END AS place FROM stored)
 SELECT id AS query_id, CASE WHEN s0 > 0.6 OR place IS NOT NULL OR s1 < 0.85 * s0 THEN array_to_string(list_sort(list_distinct(list_filter([w0, place], lambda w: w IS NOT NULL))), ' ') ELSE '' END AS must FROM p""",
+    "search_reranked": f"WITH {_rerank(_FOUND_PAIRS, ', TRUE AS ordered')}".replace("SELECT qid, cand_id, round(k, 6)", "SELECT qid, cand_id AS query_id, round(k, 6)"),
+    "item_idf": f"WITH {_WORDS} SELECT DISTINCT i.word, round(log2(n / coalesce(df, 1)), 6) AS idf FROM items i LEFT JOIN df USING (word), total",
+    "three_word_ngrams": _THREE_NGRAMS,
+    "joined_dimensions": _THREE_NGRAMS,
+    "three_word_must": f"WITH {_THREE_SHARES} SELECT query_id, CASE WHEN s0 > 0.5 OR s1 < 0.85 * s0 THEN w0 ELSE '' END AS must FROM ranked",
+    "stop_unit_ngrams": _STOP_UNITS,
+    "word_relevances": f"WITH {_NAMES}, {_sides('stored', 'names', 'query_id')} SELECT id AS query_id, w0 AS word, round(s0, 6) AS share FROM stored UNION ALL SELECT id, w1, round(s1, 6) FROM stored",
+    "stop_weight_vectors": f"""WITH {_NAMES}, {_VECTORS}, own AS (SELECT n.query_id, v.rel * CASE WHEN v.k % 5 = 0 THEN 0.25::DOUBLE ELSE 1 END AS w, x.vec FROM (SELECT query_id, unnest(string_split(query, ' ')) AS word FROM names) n JOIN vocab v USING (word) JOIN word_vecs x USING (word)),
+flat AS (SELECT query_id, unnest(range(len(vec))) AS place, unnest(vec)::DOUBLE * w AS x FROM own) SELECT query_id, place, round(sum(x), 3) AS x FROM flat GROUP BY ALL""",
+    "gzip_lines": f"WITH {_LINE} SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS query_id, type, query, parse_error FROM parsed",
+    "corpus_file": f"WITH {_LINE} SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS query_id, coalesce(query, '') AS query FROM parsed",
+    "stopwords_file": f"WITH {_WORDS} SELECT word FROM stops",
+    "toponyms_file": "SELECT lower(n_name) AS word FROM nation UNION SELECT lower(r_name) FROM region",
+    "synonyms_file": f"WITH {_NAMES} SELECT word, 'alt' || word AS synonym FROM vocab WHERE k % 3 = 0",
+    "terms_file": f"WITH {_NAMES} SELECT word, rel FROM vocab",
+    "vectors_file": f"WITH {_NAMES}, {_VECTORS} SELECT word, unnest(range(len(vec))) AS place, round(unnest(vec)::DOUBLE, 5) AS x FROM word_vecs",
+    "vector_lookup": f"WITH {_NAMES}, {_VECTORS} SELECT word, (SELECT count(*) FROM word_vecs) AS n_words, len(vec) AS size, round(vec[1]::DOUBLE, 5) AS x FROM word_vecs ORDER BY word LIMIT 1",
+    "ngram_rows_file": f"WITH {_NAME_POSTINGS} SELECT ngram, query_id, score FROM own_postings",
+    "index_round_trip": f"WITH {_NAME_POSTINGS} SELECT ngram, query_id, score FROM own_postings",
+    "index_shard_ranges": f"WITH {_NAME_POSTINGS} SELECT ngram, query_id, score FROM own_postings",
+    "loaded_search": f"WITH {_search(False)} SELECT qid, query_id, round(keyword, 6) AS keyword FROM found",
+    "posting_lookup": f"WITH {_NAME_POSTINGS}, one AS (SELECT query FROM names ORDER BY query_id LIMIT 1) SELECT ngram, query_id, score FROM own_postings, one WHERE ngram IN (split_part(query, ' ', 1), split_part(query, ' ', 2))",
+    "merged_dictionary_file": f"WITH {_NAME_POSTINGS} SELECT ngram, count(*) AS len FROM own_postings GROUP BY ngram",
+    "index_counters": f"WITH {_NAME_POSTINGS}, lens AS (SELECT count(*) AS len FROM own_postings GROUP BY ngram) SELECT (SELECT count(*) FROM names) AS n_queries, CAST(sum(len) AS BIGINT) AS n_postings, count(*) AS n_ngrams, max(len) AS longest FROM lens",
+    "streamed_postings": f"WITH {_NAME_POSTINGS} SELECT ngram, query_id, score FROM own_postings",
+    "settings_file": "SELECT FALSE AS use_word_vectors, 8::BIGINT AS nr_shards, 250000000::BIGINT AS shard_size, 500::BIGINT AS bucket_size, 6::BIGINT AS id_size",
+    "command_line": f"WITH {_NAME_POSTINGS}, lens AS (SELECT ngram, count(*) AS len FROM own_postings GROUP BY ngram) SELECT ngram, query, score, len FROM own_postings JOIN names USING (query_id) JOIN lens USING (ngram)",
 }

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import struct
+import tempfile
+import warnings
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +20,9 @@ from kindred.operators import parsing as P
 from kindred.operators import search as S
 from kindred.plans import tables as T
 from kindred.sources import lines
+from kindred.sources import tables as files
+from kindred.sources.config import SearchConfig
+from kindred.streaming import append
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -246,8 +254,11 @@ def search_json(spark, sf):
 
 @query
 def search_reranked(spark, sf):
+    """With whether each result is at least as far as the one before."""
     out = S.search(T.asked(spark, sf), _name_index(spark, sf, vectors=True))
-    return out.select("qid", "query_id", r6(F.col("keyword")).alias("keyword"), r6(F.col("cosine")).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+    far = F.coalesce("cosine", "keyword")
+    ordered = far >= F.coalesce(F.lag(far).over(Window.partitionBy("qid").orderBy("rank")), F.lit(0.0)) - 1e-9
+    return out.select("qid", "query_id", r6(F.col("keyword")).alias("keyword"), r6(F.col("cosine")).alias("cosine"), ordered.alias("ordered"))
 
 
 def _pair_sets(spark, sf, synonyms: Column | None = None) -> DataFrame:
@@ -358,3 +369,240 @@ def sentence_search(spark, sf):
     index = I.SearchIndex(I.build(corpus, dims), dims, corpus)
     parts = T.read(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "[.\n]")).alias("k", "query")).select((F.col("item_id") * 1000 + F.col("k")).alias("qid"), F.trim("query").alias("query")).where("query <> ''")
     return S.search(parts, index, 10).select("qid", "query_id", r6(F.col("keyword")).alias("keyword"), "rank")
+
+
+@query
+def item_idf(spark, sf):
+    """Of the benchmark's words; one that no document has counts as if one had it."""
+    n = T.read(spark, sf, "documents").count()
+    words = T.item_words(spark, sf).select("word").distinct().join(T.doc_frequency(spark, sf), "word", "left")
+    return words.select("word", r6(F.log2(F.lit(n) / F.coalesce("df", F.lit(1)))).alias("idf"))
+
+
+@query
+def three_word_ngrams(spark, sf):
+    rows = T.three_words(spark, sf).select("query_id", F.concat_ws(" ", "a", "b", "c").alias("query"))
+    parsed = P.parse(rows, T.name_dims(spark, sf), kernel.INDEX)
+    return parsed.select("query_id", F.explode("ngrams").alias("n")).select("query_id", F.col("n.ngram").alias("ngram"), r6(F.col("n.rel")).alias("rel"), F.col("n.pos").cast("long").alias("pos"))
+
+
+@query
+def three_word_must(spark, sf):
+    rows = T.three_words(spark, sf).select("query_id", F.concat_ws(" ", "a", "b", "c").alias("query"))
+    parsed = P.parse(rows, T.name_dims(spark, sf), kernel.SEARCH)
+    return parsed.select("query_id", _joined(F.transform("must_have", lambda k: F.get("words", k))).alias("must"))
+
+
+@query
+def joined_dimensions(spark, sf):
+    """As three_word_ngrams, with the words joined with the tables instead of these broadcast."""
+    rows = T.three_words(spark, sf).select("query_id", F.concat_ws(" ", "a", "b", "c").alias("query"))
+    parsed = P.parse(rows, T.name_dims(spark, sf), kernel.INDEX, broadcast_rows=0)
+    return parsed.select("query_id", F.explode("ngrams").alias("n")).select("query_id", F.col("n.ngram").alias("ngram"), r6(F.col("n.rel")).alias("rel"), F.col("n.pos").cast("long").alias("pos"))
+
+
+@query
+def stop_unit_ngrams(spark, sf):
+    """Two words and a stopword, which comes first, between them or last."""
+    stops = T.name_stopwords(spark, sf)
+    rows = T.three_words(spark, sf).join(stops.withColumnRenamed("word", "c"), "c", "left_semi")
+    for side in ("a", "b"):
+        rows = rows.join(stops.withColumnRenamed("word", side), side, "left_anti")
+    at = F.col("query_id") % 3
+    made = F.when(at == 0, F.concat_ws(" ", "c", "a", "b")).when(at == 1, F.concat_ws(" ", "a", "c", "b")).otherwise(F.concat_ws(" ", "a", "b", "c"))
+    parsed = P.parse(rows.select("query_id", made.alias("query")), P.Dimensions(T.name_terms(spark, sf), stops), kernel.INDEX)
+    return parsed.select("query_id", F.explode("ngrams").alias("n")).select("query_id", F.col("n.ngram").alias("ngram"), r6(F.col("n.rel")).alias("rel"))
+
+
+@query
+def word_relevances(spark, sf):
+    parsed = P.word_relevances(P.parse(T.names(spark, sf), T.name_dims(spark, sf), kernel.INDEX))
+    return parsed.select("query_id", F.explode("word_relevances").alias("word", "share")).select("query_id", "word", r6(F.col("share")).alias("share"))
+
+
+@query
+def stop_weight_vectors(spark, sf):
+    """Summed vectors of names, in which stopwords weigh less."""
+    stops = T.name_stopwords(spark, sf).withColumn("stop", F.lit(True))
+    rows = T.names(spark, sf).select("query_id", F.explode(F.split("query", " ")).alias("word")).join(T.name_terms(spark, sf), "word").join(stops, "word", "left").join(T.name_vectors(spark, sf), "word")
+    weight = vectors.weight(F.col("rel").cast("double"), F.coalesce("stop", F.lit(False)))
+    pair = F.struct("word", F.struct(F.col("vec").cast("array<double>").alias("vec"), weight.alias("w")).alias("p"))
+    summed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(pair)).alias("all")).select("query_id", vectors.weighted_sum(F.transform("all", lambda x: x["p"])).alias("vec"))
+    return summed.select("query_id", F.posexplode("vec").alias("place", "x")).select("query_id", F.col("place").cast("long").alias("place"), F.round("x", 3).alias("x"))
+
+
+def _gzip_lines(spark, sf) -> str:
+    path = T.scratch(spark, "lines")
+    _lines(spark, sf).repartition(1).sortWithinPartitions("p_partkey").select("line").write.option("compression", "gzip").text(path)
+    return path
+
+
+@query
+def gzip_lines(spark, sf):
+    return lines.read_lines(spark, _gzip_lines(spark, sf)).select("query_id", "type", "query", "parse_error")
+
+
+@query
+def corpus_file(spark, sf):
+    return lines.read_corpus(spark, _gzip_lines(spark, sf))
+
+
+@query
+def stopwords_file(spark, sf):
+    path = T.scratch(spark, "stopwords")
+    T.doc_stopwords(spark, sf).select(F.concat(F.lit(" "), "word", F.lit(" "))).write.text(path)
+    return files.read_stopwords(spark, path)
+
+
+@query
+def toponyms_file(spark, sf):
+    path = T.scratch(spark, "toponyms")
+    T.read(spark, sf, "nation").select(F.lower("n_name")).union(T.read(spark, sf, "region").select(F.lower("r_name"))).write.text(path)
+    return files.read_words(spark, path)
+
+
+@query
+def synonyms_file(spark, sf):
+    path = T.scratch(spark, "synonyms")
+    _synonyms(spark, sf).select(F.concat_ws(" ", "word", "synonym")).write.text(path)
+    return files.read_synonyms(spark, path)
+
+
+@query
+def terms_file(spark, sf):
+    path = T.scratch(spark, "terms")
+    T.name_terms(spark, sf).write.parquet(path)
+    return files.read_terms(spark, path)
+
+
+def _vector_files(spark, sf) -> DataFrame:
+    path = T.scratch(spark, "vectors")
+    rows = T.name_vectors(spark, sf).orderBy("word").collect()  # some dozens of words
+    T.put(spark, f"{path}/words", "\n".join(json.dumps(r["word"]) for r in rows).encode())
+    T.put(spark, f"{path}/floats", b"".join(struct.pack(f"<{len(r['vec'])}f", *r["vec"]) for r in rows))
+    return files.read_vectors(spark, f"{path}/words", f"{path}/floats", len(rows[0]["vec"]))
+
+
+@query
+def vectors_file(spark, sf):
+    return _vector_files(spark, sf).select("word", F.posexplode("vec").alias("place", "x")).select("word", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+@query
+def vector_lookup(spark, sf):
+    """One word's vector, and how many words and places there are."""
+    every = _vector_files(spark, sf)
+    word = T.name_vectors(spark, sf).agg(F.min("word")).first()[0]
+    return files.vector_of(every, word).select("word", F.lit(every.count()).cast("long").alias("n_words"), F.size("vec").cast("long").alias("size"), F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("x"))
+
+
+@query
+def ngram_rows_file(spark, sf):
+    """Rows as written and read again, broken ones among them left out."""
+    path = T.scratch(spark, "ngram-rows")
+    files.write_ngram_rows(I.postings_of(T.names(spark, sf), T.name_dims(spark, sf)), path, 4)
+    spark.createDataFrame([("x\ty\tz",), ("1\tlone",), ("2\tfar\t999",)], "line string").write.mode("append").text(path)
+    return files.read_ngram_rows(spark, path).select("ngram", "query_id", F.col("score").cast("long").alias("score"))
+
+
+def _written_index(spark, sf) -> str:
+    path = T.scratch(spark, "index")
+    _name_index(spark, sf, vectors=True).write(path)
+    return path
+
+
+def _postings(df: DataFrame) -> DataFrame:
+    return df.select("ngram", "query_id", F.col("score").cast("long").alias("score"))
+
+
+@query
+def index_round_trip(spark, sf):
+    return _postings(I.SearchIndex.load(spark, _written_index(spark, sf)).postings)
+
+
+@query
+def index_shard_ranges(spark, sf):
+    """Two ranges of shards, which have every posting once between them."""
+    path = _written_index(spark, sf)
+    low, high = (I.SearchIndex.load(spark, path, r).postings for r in ((0, 20), (20, I.SHARDS)))
+    return _postings(low.unionByName(high))
+
+
+@query
+def loaded_search(spark, sf):
+    """keyword_search on an index that was written and loaded."""
+    index = I.SearchIndex.load(spark, _written_index(spark, sf))
+    parsed = S.parsed_queries(T.asked(spark, sf), index)
+    return S.keyword_matches(parsed, index.postings, False, index.shards).select("qid", "query_id", r6(F.col("keyword")).alias("keyword"))
+
+
+@query
+def posting_lookup(spark, sf):
+    """The lists of the words of the first name."""
+    index = I.SearchIndex.load(spark, _written_index(spark, sf))
+    first = T.names(spark, sf).orderBy("query_id").first()["query"].split()
+    return _postings(index.lookup(first))
+
+
+@query
+def merged_dictionary_file(spark, sf):
+    path = _written_index(spark, sf)
+    I.write_dictionary(spark, path)
+    found = spark.read.parquet(f"{path}/dictionary")
+    ngram, shard = I.merged_key(F.col("key"))
+    return found.where(shard == F.col("shard")).select(ngram.alias("ngram"), "len")
+
+
+@query
+def index_counters(spark, sf):
+    corpus = T.names(spark, sf)
+    return I.counters(corpus, I.postings_of(corpus, T.name_dims(spark, sf)))
+
+
+@query
+def streamed_postings(spark, sf):
+    """Postings of a stream of names, batch by batch, with the cap applied anew."""
+    path = T.scratch(spark, "stream")
+    T.names(spark, sf).repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("query_id bigint, query string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    append.append_postings(stream, T.name_dims(spark, sf), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return _postings(append.compact(spark, f"{path}/out"))
+
+
+def _settings(spark, sf) -> str:
+    """A folder with settings and the tables that they name, on the driver's disk or the shared one."""
+    path = T.scratch(spark, "settings")
+    T.name_terms(spark, sf).write.parquet(f"{path}/terms")
+    T.put(spark, f"{path}/stopwords.txt", b"unusedstopword\n")
+    names = {"terms_relevance_file": f"{path}/terms", "stopwords_file": f"{path}/stopwords.txt", "use_word_vectors": False, "nr_shards": 8, "bucket_size": 500, "more": 1}
+    local = f"{tempfile.mkdtemp(prefix='kindred-')}/config.json"  # settings are the driver's own
+    Path(local).write_text(json.dumps(names))
+    return local
+
+
+@query
+def settings_file(spark, sf):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        c = SearchConfig.from_json(_settings(spark, sf))
+    row = (c.use_word_vectors, c.nr_shards, c.shard_size, c.bucket_size, c.id_size)
+    return spark.createDataFrame([row], "use_word_vectors boolean, nr_shards bigint, shard_size bigint, bucket_size bigint, id_size bigint")
+
+
+@query
+def command_line(spark, sf):
+    """Lines to rows, rows to an index in two parts, and its dictionary, all by commands."""
+    from kindred import cli
+
+    path, config = T.scratch(spark, "cli"), _settings(spark, sf)
+    T.names(spark, sf).select(F.col("query").alias("line"), "query_id").repartition(1).sortWithinPartitions("query_id").select("line").write.option("compression", "gzip").text(f"{path}/lines")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        cli.main(["shard", f"{path}/lines", "4", path, "--config", config])
+        for first, last in ((0, 3), (3, 8)):
+            cli.main(["index", f"{path}/ngrams", str(first), str(last), f"{path}/index", "--config", config, "--corpus", f"{path}/corpus"])
+        cli.main(["merge", f"{path}/index"])
+    built = I.SearchIndex.load(spark, f"{path}/index")
+    named = built.postings.join(built.corpus, "query_id")
+    lens = spark.read.parquet(f"{path}/index/dictionary").groupBy("ngram").agg(F.sum("len").alias("len"))
+    return named.join(lens, "ngram").select("ngram", "query", F.col("score").cast("long").alias("score"), "len")

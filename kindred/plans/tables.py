@@ -5,6 +5,9 @@ Short strings are the two-word names of ``part``; longer ones are sentences of `
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,23 @@ from kindred.operators.parsing import Dimensions
 STOPWORDS, DOC_CAP, SHARDS = 20, 50, 64
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that the driver and all executors share (see the README)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    top = found or f"file://{tempfile.gettempdir()}"
+    return f"{top.rstrip('/')}/kindred-search/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(data))
+    out.close()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,6 +82,19 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "one").drop("one")
 
 
+def three_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, a, b and c: each name's words and, by its number, a third one. Short words alone would fuse."""
+    ranked = name_terms(spark, sf_dir).select("word", F.row_number().over(Window.orderBy("word")).alias("k"))
+    two = F.split("query", " ")
+    rows = names(spark, sf_dir).select("query_id", F.get(two, F.lit(0)).alias("a"), F.get(two, F.lit(1)).alias("b"), (F.col("query_id") % 16 + 1).alias("k"))
+    return rows.join(ranked.withColumnRenamed("word", "c"), "k").where("c <> a and c <> b and greatest(length(a), length(b), length(c)) > 4").select("query_id", "a", "b", "c")
+
+
+def name_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth word of the names."""
+    return name_terms(spark, sf_dir).select("word", F.row_number().over(Window.orderBy("word")).alias("k")).where("k % 5 = 0").select("word")
+
+
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and word, for each word of each document's normalised text."""
     return _words(read(spark, sf_dir, "documents"), "doc_id")
@@ -79,7 +112,15 @@ def _words(df: DataFrame, key: str) -> DataFrame:
 
 
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_words(spark, sf_dir).distinct().groupBy("word").agg(F.count("*").alias("df"))
+    """word and df. A document's words are made distinct where it is read, so only counts travel;
+    a document that stands in several rows counts once."""
+    docs = read(spark, sf_dir, "documents")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        words = doc_words(spark, sf_dir).distinct()
+    else:
+        normal = text.normalize(F.coalesce("text", F.lit("")))
+        words = docs.select(F.explode(F.array_distinct(F.split(normal, " "))).alias("word")).where("word <> ''")
+    return words.groupBy("word").agg(F.count("*").alias("df"))
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +141,9 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_dims(spark: SparkSession, sf_dir: str) -> Dimensions:
     places = read(spark, sf_dir, "nation").select(F.lower("n_name").alias("word")).union(read(spark, sf_dir, "region").select(F.lower("r_name").alias("word")))
-    return Dimensions(doc_terms(spark, sf_dir), doc_stopwords(spark, sf_dir), places)
+    path = scratch(spark, "df")
+    doc_frequency(spark, sf_dir).write.parquet(path)  # relevances and stopwords both come from it
+    df = spark.read.schema("word string, df bigint").parquet(path)
+    n = read(spark, sf_dir, "documents").count()
+    terms = df.select("word", F.round(1000 * F.log2(F.lit(n) / F.col("df"))).cast("bigint").alias("rel"))
+    return Dimensions(terms, df.orderBy(F.desc("df"), "word").limit(STOPWORDS).select("word"), places)

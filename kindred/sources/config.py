@@ -23,6 +23,7 @@ class SearchConfig:
     i2q_file: str | None = None
     words_file: str | None = None
     word_vecs_file: str | None = None
+    vector_size: int = 300
 
     @classmethod
     def from_json(cls, path: str) -> SearchConfig:
@@ -35,3 +36,7 @@ class SearchConfig:
                 warnings.warn(f"{path} does not set {name}", stacklevel=2)
         known = {f.name for f in fields(cls)}
         return cls(**{"dir_path": str(Path(path).parent)} | {k: v for k, v in given.items() if k in known})
+
+    def path(self, name: str | None) -> str | None:
+        """Where a file of the settings is: beside the others, unless it says so itself."""
+        return None if name is None else name if "/" in name else f"{self.dir_path}/{name}"

@@ -49,4 +49,11 @@ def read_vectors(spark: SparkSession, words_path: str, vectors_path: str, dimens
     words = with_ordinal(spark.read.text(words_path).select(F.monotonically_increasing_id().alias("place"), "value"), "place", name="word_id")
     words = words.select("word_id", F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"].alias("word"))
     rows = spark.sparkContext.binaryRecords(vectors_path, 4 * dimension).zipWithIndex().map(lambda x: (x[1], np.frombuffer(x[0], "<f4").tolist()))
-    return words.join(spark.createDataFrame(rows, "word_id bigint, vec array<float>"), "word_id").select("word", "vec")
+    both = words.join(spark.createDataFrame(rows, "word_id bigint, vec array<float>"), "word_id", "full")
+    one = F.when(F.col("word").isNotNull() & F.col("vec").isNotNull(), F.col("word")).otherwise(F.raise_error(F.lit("words and vectors differ in number")))
+    return both.select(one.alias("word"), "vec")
+
+
+def vector_of(vectors: DataFrame, word: str) -> DataFrame:
+    """The vector of one word: a row, or none."""
+    return vectors.where(F.col("word") == word)
