@@ -73,8 +73,10 @@ def _whole(raw: bytes) -> np.ndarray:
 
 def _parts(keys: np.ndarray, of: int) -> Iterator[tuple[int, int, int]]:
     """Each part that has some of the sorted hashes, and where they begin and end; parts are equal ranges."""
+    if not len(keys):
+        return
     part = (keys >> np.uint64(32)) * np.uint64(of) >> np.uint64(32)
-    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     ends = np.append(begins[1:], len(part))
     yield from zip(part[begins].tolist(), begins.tolist(), ends.tolist(), strict=True)
 
