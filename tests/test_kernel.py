@@ -4,7 +4,7 @@ import pytest
 
 from kindred.operators import kernel
 
-STOP = set("the 4 1 and has by welche sind im if is it to into all of in not a was who on many as".split())
+STOP = set("aber the 4 1 7 and has by welche sind im if is it to into all of in not a was who on many as".split())
 
 
 def look(rel=None, stop=STOP, places=(), dictionary=None):
@@ -12,11 +12,11 @@ def look(rel=None, stop=STOP, places=(), dictionary=None):
     return kernel.Lookup(lambda w: rel.get(w, 1000 if w in stop else 4000 + len(w)), stop.__contains__, set(places).__contains__, dictionary or {})
 
 
-def units(query, mode=kernel.INDEX):
+def units(query, mode=kernel.INDEX, rel=None):
     words, synonyms = kernel.tokenize(query, mode, {})
     if len(words) < 2:
         return words
-    l = look(stop=STOP - {"many"})
+    l = look(rel, stop=STOP - {"many"})
     return [u.text for u in kernel.Grouping(words, kernel.weigh(words, synonyms, l), synonyms, mode).units]
 
 
@@ -36,11 +36,30 @@ def units(query, mode=kernel.INDEX):
         ("youngest person to walk on the moon", ["youngest", "person", "to walk", "moon on the"]),
         ("changing mac os menu bar", ["changing", "mac", "os", "menu", "bar"]),
         ("@xsel e n a x", ["xselenax"]),
+        ("@x s e l e n a x", ["xselenax"]),
+        ("watch the magicians season 4 episode 1 free 123", ["watch", "magicians the", "4 season", "1 episode", "free", "123"]),
+        ("watch the magicians season 4 episode 1 123movies", ["watch", "magicians the", "4 season", "1 episode", "123", "movies"]),
+        ("welche 30 unternehmen sind im dax", ["30 welche", "unternehmen", "dax im sind"]),
+        ("if the word is 7 it has to go into bigram", ["if the word", "7 is", "has it", "go to", "bigram into"]),
+        ("aber keine", ["aber keine"]),
+        ("hengstenberg evangelische", ["hengstenberg", "evangelische"]),
+        ("emacs bind buffer mode key", ["emacs", "bind", "buffer", "mode", "key"]),
+        ("disneyland paris ticket download", ["disneyland", "paris", "ticket", "download"]),
+        ("friends s01 e01 stream", ["friends", "s01", "e01", "stream"]),
+        ("caddy14 d ersatzteile", ["caddy", "14", "ersatzteile"]),
+        ("youngest person on the moon", ["youngest", "person", "moon on the"]),
+        ("bdv e670", ["bdv", "e670"]),
     ],
 )
 def test_units(query, expected):
-    assert units(query) == expected
-    assert units(query, kernel.SEARCH) == expected
+    rel = {"season": 4100, "moon": 5000, "dax": 5000, "unternehmen": 4500}
+    assert units(query, rel=rel) == expected
+    assert units(query, kernel.SEARCH, rel) == expected
+
+
+def test_units_of_fused_letters():
+    """In search mode the letter is a synonym's; the unit is the same in index mode."""
+    assert units("sim karte defekt t mobile iphone") == ["sim", "karte", "defekt", "mobile", "iphone"]
 
 
 def test_what_size():
