@@ -62,6 +62,41 @@ def test_units_of_fused_letters():
     assert units("sim karte defekt t mobile iphone") == ["sim", "karte", "defekt", "mobile", "iphone"]
 
 
+@pytest.mark.parametrize(
+    ("query", "rel", "stop", "places", "must", "expected"),
+    [  # relevances that fit the known results
+        (
+            "list of literature genres txt",
+            {"list": 4150, "of": 4950, "literature": 5450, "genres": 4850, "txt": 8200},
+            {"of", "txt"},
+            ["list"],
+            [0, 2],
+            {"list literature of": [0, 1, 2], "literature of": [1, 2], "genres list": [0, 3], "genres txt": [3, 4], "genres txt list": [0, 3, 4], "genres literature": [2, 3], "list literature": [0, 2], "genres txt literature of": [1, 2, 3, 4], "genres list literature": [0, 2, 3], "genres of": [1, 3], "genres": [3]},
+        ),
+        (
+            "friends s01 e01 stream",
+            {"friends": 6350, "s01": 6750, "e01": 7950, "stream": 4300},
+            set(),
+            ["friends"],
+            [0, 2, 3],
+            {"s01 stream": [1, 3], "friends s01": [0, 1], "e01 s01": [1, 2], "friends stream": [0, 3], "e01 friends": [0, 2], "e01 stream": [2, 3], "e01 friends s01": [0, 1, 2], "s01": [1]},
+        ),
+        (
+            "emacs bind buffer mode key",
+            {"emacs": 7000, "bind": 8650, "buffer": 5800, "mode": 5400, "key": 4300},
+            set(),
+            ["buffer", "emacs"],
+            [0, 1],
+            {"emacs key": [0, 4], "buffer emacs": [0, 2], "bind emacs": [0, 1], "bind buffer": [1, 2], "emacs mode": [0, 3], "buffer mode": [2, 3], "buffer key": [2, 4], "key mode": [3, 4], "bind buffer emacs": [0, 1, 2], "bind mode": [1, 3], "bind key": [1, 4], "emacs": [0]},
+        ),
+    ],
+)
+def test_golden_parses(query, rel, stop, places, must, expected):
+    p = kernel.parse(query, kernel.INDEX, look(rel, stop, places))
+    assert {t: sorted(ids) for t, (_, ids) in p.ngrams.items()} == expected
+    assert sorted(p.must) == must
+
+
 def test_what_size():
     p = kernel.parse("what size kenzan", kernel.INDEX, look({"what": 600, "size": 1500, "kenzan": 9000}, {"what"}))
     assert set(p.ngrams) == {"kenzan size what", "kenzan size", "kenzan"}
