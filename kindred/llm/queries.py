@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kindred.llm import chat, decontamination, html_text, lm_scoring, near_dedup, nearest, packing, quality, secrets, token_store
 from kindred.llm.common import scratch
+from kindred.llm.oracle import ORACLE_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +18,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "labels")
-    return lm_scoring.score_documents(_read(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"))
+    scores = lm_scoring.score_documents(_read(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +33,8 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    found = decontamination.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +73,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_near_dedup": op10_near_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
