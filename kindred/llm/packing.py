@@ -21,6 +21,8 @@ from kindred.llm import bpe
 from kindred.llm.common import scratch, ship
 
 CAPACITY, END_ID = 1024, 2
+#: Bytes of text that a worker encodes at once.
+BLOCK_BYTES = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long"
 #: Of one length: first rank, number of sequences, slots in each, first sequence, offset there.
 Slot = tuple[int, int, int, int, int]
@@ -78,7 +80,7 @@ def _cut(tokenizer: str | None, end: int, capacity: int, kept: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = bpe.encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for block in bpe.blocks(batches, "text", 4_000_000):
+        for block in bpe.blocks(batches, "text", BLOCK_BYTES):
             offsets, ids = bpe.with_end(*encoder.encode(block.column("text").combine_chunks()), end)
             sizes = np.diff(offsets)
             n_pieces = -(-sizes // capacity)
