@@ -1,8 +1,9 @@
 """Encoding of whole Arrow columns with a byte-level BPE file of the ``tokenizers`` library.
 
 The library encodes a text on its own terms at under one megabyte a second. Here a column is cut
-at places where its pre-tokenizer always cuts too, each distinct part goes through the library's
-model once for each worker, and the ids of all texts are gathered from there with numpy. The
+at places where its pre-tokenizer always cuts too, the parts are looked up by their bytes in a
+table of numpy arrays, each distinct part that isn't there goes through the library's model, and the
+ids of all texts are gathered from there with numpy. The
 result equals ``Tokenizer.encode_batch`` on the whole texts (see ``tests/llm/test_texts.py``), special
 tokens that stand in a text included: the text is cut there and they get their own id. Other kinds
 of tokenizer files go through ``encode_batch``.
@@ -32,9 +33,14 @@ _CLASS[9:14] = _BLANK
 _CLASS[39] = _QUOTE
 _CLASS[128:] = _HIGH
 
-#: Distinct parts after which a worker's memory of parts grows old: parts that turn up again move to
-#: the new one, the others go when that is full too. Both take about 130 bytes a part.
-CACHED = 120_000
+#: Size of a worker's memory of parts, after which those go that have not turned up again. A part counts
+#: as one and an eighth for each of its ids; one of more than ``SHORT`` bytes for every 32 bytes of it too.
+#: So it holds about 900,000 parts of prose, at some 70 bytes each.
+CACHED = 1_600_000
+#: Bytes of a part that fit its key of two 64-bit words, beside their number.
+SHORT = 15
+#: Parts that are looked up at once.
+STEP = 1 << 16
 
 
 def default_path() -> str:
@@ -74,7 +80,6 @@ class Encoder:
         self.model = self.tokenizer.model
         self.split = regex.compile(PATTERN).findall
         self.letters = _byte_letters()
-        self.older = Parts()
         self.parts = Parts()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,18 +94,10 @@ class Encoder:
         if not len(data):
             return np.zeros(n + 1, np.int64), np.zeros(0, np.int32)
         cuts = self._cuts(data, offsets, self._specials(data, offsets))
-        parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
-        on = gc.isenabled()
-        gc.disable()
-        try:
-            index = self._indices(parts.dictionary.to_pylist())
-        finally:
-            if on:
-                gc.enable()
-        part = index[parts.indices.to_numpy()]
-        sizes = self.parts.lengths[part].astype(np.int64)
-        ends = np.cumsum(sizes)
-        ids = self.parts.flat[np.repeat(self.parts.begins[part] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        part = self._indices(data, cuts)
+        sizes = self.parts.lengths.take(part)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        ids = _slices(self.parts.flat, self.parts.begins.take(part), sizes)
         before = np.concatenate(([0], ends))
         return before[np.searchsorted(cuts, offsets)], ids
 
@@ -138,61 +135,178 @@ class Encoder:
             cut[a + 1 : b] = False
         return np.flatnonzero(cut).astype(np.int64)
 
-    def _indices(self, parts: list[bytes]) -> np.ndarray:
-        if len(self.parts.known) > CACHED:
-            self.older, self.parts = self.parts, Parts()
-        get, known, old = self.parts.known.get, self.parts.known, self.older
-        out = [get(p, -1) for p in parts]
-        missing = [i for i, k in enumerate(out) if k < 0]
-        if missing:
-            tokenize, letters, split = self.model.tokenize, self.letters, self.split
-            ids: list[int] = []
-            sizes = []
-            for i in missing:
-                p = parts[i]
-                before = len(ids)
-                word = p[1:] if p[:1] == b" " else p
-                if (at := old.known.get(p, -1)) >= 0:
-                    ids += old.ids(at)
-                elif p in self.special:
-                    ids.append(self.special[p])
-                elif word.isalpha() or word.decode().isalpha():  # one pre-token
-                    ids += [t.id for t in tokenize(p.decode("latin-1").translate(letters))]
-                else:
-                    for piece in split(p.decode()):
-                        ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
-                sizes.append(len(ids) - before)
-                out[i] = known[p] = len(known)
-            self.parts.keep(np.array(ids, np.int32), np.array(sizes, np.int32))
-        return np.array(out, np.int64)
+    def _indices(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The number of each part; those that aren't known yet are learned."""
+        if self.parts.weight() > CACHED:
+            self.parts = self.parts.again()
+            if 2 * self.parts.weight() > CACHED:
+                self.parts = Parts()
+        words = np.zeros(len(data) // 8 + 3, "<u8")
+        words.view(np.uint8)[: len(data)] = data
+        starts, ends = cuts[:-1], cuts[1:]
+        part = np.empty(len(starts), np.int64)
+        for k in range(0, len(part), STEP):
+            part[k : k + STEP] = self.parts.find(*_keys(words, starts[k : k + STEP], ends[k : k + STEP]))
+        self.parts.seen[part] = True  # -1 marks the last one, which does no harm
+        if len(rows := np.flatnonzero(part < 0)):
+            held = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+            found = held.take(pa.array(rows)).dictionary_encode()
+            which = found.indices.to_numpy()
+            one = np.empty(len(found.dictionary), np.int64)
+            one[which] = rows  # a row of each, whichever
+            on = gc.isenabled()
+            gc.disable()
+            try:
+                part[rows] = self._learn(found.dictionary.to_pylist(), *_keys(words, starts[one], ends[one]))[which]
+            finally:
+                if on:
+                    gc.enable()
+        return part
+
+    def _learn(self, parts: list[bytes], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The numbers of different parts that the table of keys doesn't have; long ones may be known."""
+        tokenize, letters, split, special, long = self.model.tokenize, self.letters, self.split, self.special, self.parts.long
+        ids: list[int] = []
+        sizes, out, number = [], [], self.parts.n
+        for p in parts:
+            if len(p) > SHORT:
+                if (at := long.get(p, -1)) >= 0:
+                    out.append(at)
+                    continue
+                long[p] = number
+                self.parts.long_bytes += len(p)
+            before = len(ids)
+            word = p[1:] if p[:1] == b" " else p
+            if p in special:
+                ids.append(special[p])
+            elif word.isalpha() or word.decode().isalpha():  # one pre-token
+                ids += [t.id for t in tokenize(p.decode("latin-1").translate(letters))]
+            else:
+                for piece in split(p.decode()):
+                    ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
+            sizes.append(len(ids) - before)
+            out.append(number)
+            number += 1
+        numbers = np.array(out, np.int64)
+        new = numbers >= self.parts.n
+        self.parts.keep(low[new], high[new], np.array(ids, np.int32), np.array(sizes, np.int32))
+        return numbers
+
+
+_SIZES = np.arange(SHORT + 2)
+_LOW = np.array([(1 << 8 * min(k, 8)) - 1 for k in _SIZES.tolist()], np.uint64)
+_HIGH_WORD = np.array([(1 << 8 * max(k - 8, 0)) - 1 for k in _SIZES.tolist()], np.uint64)
+_LOW[-1] = _HIGH_WORD[-1] = 0
+_SIZE_BITS = np.append(_SIZES[:-1], 0).astype(np.uint64) << np.uint64(56)
+
+
+def _keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words that hold each part's bytes and, in the highest byte, their number; 0, 0 for a long one.
+
+    Different parts of up to ``SHORT`` bytes have different keys. ``words`` are the bytes of all parts
+    and two words of zeros at least.
+    """
+    size = np.minimum(ends - starts, SHORT + 1)
+    at, by = starts >> 3, (starts & 7).astype(np.uint64) << np.uint64(3)
+    rest, one = np.uint64(63) - by, np.uint64(1)
+    low, high, after = words.take(at), words.take(at + 1), words.take(at + 2)
+    low = (low >> by | (high << one) << rest) & _LOW.take(size)
+    high = (high >> by | (after << one) << rest) & _HIGH_WORD.take(size) | _SIZE_BITS.take(size)
+    return low, high
 
 
 class Parts:
-    """Parts of texts that are known, numbered, and the ids of each."""
+    """Parts of texts that are known, numbered, and the ids of each.
+
+    ``slots`` is a hash table with open addressing: the number of a part, or -1. Its keys are whole,
+    so a find is never a part that only has the same hash. Long parts are in a dictionary.
+    """
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
+        self.n = 0
         self.n_flat = 0
-        self.begins = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int32)
-
-    def ids(self, at: int) -> list[int]:
-        return self.flat[self.begins[at] : self.begins[at] + self.lengths[at]].tolist()
-
-    def keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """The ids of those that were numbered last."""
-        end, first = self.n_flat + len(ids), len(self.known) - len(sizes)
+        self.bits = 16
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.low = np.zeros(1 << 15, np.uint64)
+        self.high = np.zeros(1 << 15, np.uint64)
+        self.begins = np.zeros(1 << 15, np.int64)
+        self.lengths = np.zeros(1 << 15, np.int32)
+        self.seen = np.zeros((1 << 15) + 1, bool)
+        self.flat = np.zeros(1 << 17, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def weight(self) -> int:
+        return self.n + self.n_flat // 8 + self.long_bytes // 32
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of parts by their keys; -1 where there is none."""
+        slot = self._slot(low, high)
+        out = self.slots.take(slot).astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & ((self.low.take(out, mode="clip") != low) | (self.high.take(out, mode="clip") != high)))
+        slot, low, high = slot[open_], low[open_], high[open_]
+        while len(open_):
+            slot = (slot + 1) & (len(self.slots) - 1)
+            at = self.slots.take(slot).astype(np.int64)
+            out[open_] = at
+            go = np.flatnonzero((at >= 0) & ((self.low.take(at, mode="clip") != low) | (self.high.take(at, mode="clip") != high)))
+            open_, slot, low, high = open_[go], slot[go], low[go], high[go]
+        return out
+
+    def keep(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Number parts that aren't known, from ``n`` on. Those with the key 0, 0 aren't found by it."""
+        first, n, end = self.n, self.n + len(sizes), self.n_flat + len(ids)
+        if n > len(self.low):
+            self.low, self.high, self.begins, self.lengths, self.seen = (_longer(x, first, n) for x in (self.low, self.high, self.begins, self.lengths, self.seen))
         if end > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.n_flat], np.zeros(end * 2 - self.n_flat, np.int32)))
+            self.flat = _longer(self.flat, self.n_flat, end)
+        self.low[first:n], self.high[first:n] = low, high
+        self.lengths[first:n] = sizes
+        self.begins[first:n] = self.n_flat + np.cumsum(sizes) - sizes
         self.flat[self.n_flat : end] = ids
-        if len(self.known) > len(self.begins):
-            grow = len(self.known) * 2
-            self.begins = np.concatenate((self.begins[:first], np.zeros(grow - first, np.int64)))
-            self.lengths = np.concatenate((self.lengths[:first], np.zeros(grow - first, np.int32)))
-        self.lengths[first : first + len(sizes)] = sizes
-        self.begins[first : first + len(sizes)] = self.n_flat + np.cumsum(sizes) - sizes
-        self.n_flat = end
+        self.n, self.n_flat = n, end
+        if 2 * n > len(self.slots):
+            self.bits, first = (2 * n).bit_length(), 0
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+        self._enter(first)
+
+    def again(self) -> Parts:
+        """The short parts that turned up again in a later block."""
+        out = Parts()
+        rows = np.flatnonzero(self.seen[: self.n] & (self.high[: self.n] > 0))
+        sizes = self.lengths[rows]
+        out.keep(self.low[rows], self.high[rows], _slices(self.flat, self.begins[rows], sizes), sizes)
+        return out
+
+    def _enter(self, first: int) -> None:
+        """Put parts from number ``first`` on into the slots: each into the first free one."""
+        number = first + np.flatnonzero(self.high[first : self.n])
+        slot = self._slot(self.low[number], self.high[number])
+        while len(number):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = number[free]
+            left = self.slots[slot] != number
+            number, slot = number[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+
+def _longer(values: np.ndarray, used: int, least: int) -> np.ndarray:
+    out = np.zeros(least * 3 // 2 + 1, values.dtype)
+    out[:used] = values[:used]
+    return out
+
+
+def _slices(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Slices of ``values``, one after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = np.repeat(begins - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return values.take(at)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

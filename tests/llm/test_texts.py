@@ -59,6 +59,42 @@ def test_encoder_forgets_and_goes_on(monkeypatch):
         assert ids.tolist() == e.tokenizer.encode(text).ids
 
 
+class Counted:
+    """A model that counts what it is asked."""
+
+    def __init__(self, model):
+        self.model, self.asked = model, 0
+
+    def tokenize(self, text):
+        self.asked += 1
+        return self.model.tokenize(text)
+
+
+def test_parts_that_come_back_are_not_learned_again():
+    """op3_token_store, op9_best_fit_packing: blocks of more distinct words than 120,000, and one of them again."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters]
+    first, second = (pa.array([" ".join(w + end for w in words[:125_000])]) for end in ("a", "e"))
+    e = bpe.Encoder(bpe.default_path())
+    e.model = Counted(e.model)
+    ids = e.encode(first)[1]
+    e.encode(second)
+    asked = e.model.asked
+    assert e.encode(first)[1].tolist() == ids.tolist()
+    assert e.model.asked == asked
+
+
+def test_parts_of_all_sizes_keep_apart(monkeypatch):
+    """Zero bytes, sizes about those of the table's keys, long parts that come back, and all of it forgotten on the way."""
+    texts = [f"{x * n} {x * n}\0 {x * n}\0\0" for x in ("a", "é", "\0", "7", "語", "ab") for n in (*range(1, 10), *range(14, 19), 40)]
+    for cached in (bpe.CACHED, 120):
+        monkeypatch.setattr(bpe, "CACHED", cached)
+        e = bpe.Encoder(bpe.default_path())
+        for some in (texts, texts[::-1], texts[:20], texts[10:50], texts):
+            offsets, ids = e.encode(pa.array(some))
+            assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [x.ids for x in e.tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
 def test_token_store(spark, tokenizer):
     docs = spark.createDataFrame(ODD, DOCS).withColumn("n_tokens", F.lit("clash"))
     path = scratch(spark, "test-tokens")
