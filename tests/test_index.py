@@ -87,6 +87,23 @@ def test_word_tables_and_joins_agree(spark, corpus, dims):
     assert a == b
 
 
+def test_joined_words_travel_without_the_queries(spark, corpus, dims, monkeypatch):
+    """With large tables only the words of blocks are joined; the queries go to their blocks once."""
+    monkeypatch.setattr(parsing, "BLOCK_ROWS", 2)
+    places = spark.createDataFrame([("large",)], "word string")
+    synonyms = spark.createDataFrame([("red", "crimson"), ("nut", "bolt")], "word string, synonym string")
+    more = parsing.Dimensions(dims.terms, dims.stopwords, places, synonyms)
+    rows = corpus.unionByName(spark.createDataFrame([(5, None), (6, "red bolt")], corpus.schema))
+    for mode in ("index", "search"):
+        a = parsing.parse(rows, more, mode).orderBy("query_id")
+        b = parsing.parse(rows, more, mode, broadcast_rows=0)
+        assert a.collect() == b.orderBy("query_id").collect()
+        assert "hashpartitioning(query" not in b._jdf.queryExecution().executedPlan().toString()
+    some = parsing.parse(rows, more, columns=("must_have", "n_ngrams"), broadcast_rows=0)
+    assert some.columns == ["query_id", "query", "must_have", "n_ngrams"]
+    assert {(r.query_id, r.n_ngrams) for r in some.collect()} == {(r.query_id, len(r.ngrams)) for r in parsing.parse(rows, more).collect()}
+
+
 def test_search(spark, corpus, dims, tmp_path):
     built = index.SearchIndex(index.build(corpus, dims), dims, corpus)
     built.write(str(tmp_path / "index"))
