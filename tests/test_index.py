@@ -121,6 +121,19 @@ def test_search(spark, corpus, dims, tmp_path):
     assert part.postings.count() <= built.postings.count()
 
 
+def test_lists_that_are_asked_for(spark, corpus, dims):
+    """An index of some lists, with texts looked up, gives what the whole one gives; nothing else is capped."""
+    whole = index.SearchIndex(index.build(corpus, dims), dims, corpus)
+    asked = spark.createDataFrame([(1, "bolt red"), (2, "large bolt nut")], "qid bigint, query string")
+    grams = search.parsed_queries(asked, whole).select(F.explode("ngrams.ngram").alias("ngram")).distinct()
+    some = index.build(corpus, dims, only=grams)
+    assert {r.ngram for r in some.collect()} < {r.ngram for r in whole.postings.collect()}
+    seen = []
+    texts = lambda ids: corpus.where(F.col("query_id").isin(seen.extend(r[0] for r in ids.collect()) or seen))
+    got = search.search(asked, index.SearchIndex(some, dims, texts=texts), 10, hold=lambda df: df.localCheckpoint())
+    assert sorted(got.collect()) == sorted(search.search(asked, whole, 10).collect()) and seen
+
+
 def test_distance_to_itself_is_zero(spark, dims):
     vec = spark.createDataFrame([(w, [float(k), 1.0]) for k, w in enumerate(["red", "bolt", "blue"])], "word string, vec array<float>")
     rows = [(0, "red bolt", 0, "red bolt"), (0, "red bolt", 1, "blue bolt"), (0, "red bolt", 2, "zzz yyy"), (1, "", 3, "red"), (2, "red", 4, None)]
