@@ -11,8 +11,11 @@ MAX_WORDS, MISSING_RELEVANCE = 15, 6666
 # Marks that become a blank, and marks that go.
 BLANKED, DELETED = "#@();./+-_", "!,?:'"
 UMLAUTS = (("ß", "ss"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"))
-#: Digits come off a word of two or more letters, or a blank before them.
-DIGITS = r"([A-Za-z]{2,}|\s|^)(\d{2,})"
+#: Digits come off a word of two or more letters, or a blank before them. Each place is first asked
+#: for digits, as letters are many.
+DIGITS = r"(?=\d\d)(?<=[A-Za-z]{2}|\s|^)\d+"
+#: What Unicode calls white space.
+BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def normalize(text: Column) -> Column:
@@ -20,8 +23,7 @@ def normalize(text: Column) -> Column:
     out = F.lower(F.translate(text, BLANKED + DELETED, " " * len(BLANKED)))
     for mark, spelled in UMLAUTS:
         out = F.replace(out, F.lit(mark), F.lit(spelled))
-    out = F.regexp_replace(out, f"(?U){DIGITS}", "$1 $2 ")
-    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.regexp_replace(out, f"(?U){DIGITS}", " $0 "), F.lit(BLANKS))
 
 
 def words(normal: Column) -> Column:

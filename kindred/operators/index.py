@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from kindred.operators import kernel
 from kindred.operators.parsing import BROADCAST_ROWS, Dimensions, parse
 
 BUCKET_SIZE, SHARDS = 2_500, 64
+#: Bytes of text whose words are counted together.
+BLOCK_BYTES = 32_000_000
 
 
 def postings_of(corpus: DataFrame, dims: Dimensions, block: str | None = None) -> DataFrame:
@@ -35,6 +40,41 @@ def cap(postings: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFrame:
     return postings.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= bucket_size).drop("rank")
 
 
+def _best_of_block(ids: np.ndarray, texts: pa.Array, bucket_size: int) -> pa.RecordBatch:
+    words = pc.split_pattern(texts, " ")
+    coded = words.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()  # Spark sorts what is in order fast
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    pairs, counts = np.unique(place[coded.indices.to_numpy()] * len(ids) + pc.list_parent_indices(words).to_numpy(), return_counts=True)
+    word, doc = np.divmod(pairs, max(len(ids), 1))
+    counts = np.minimum(counts, 255)
+    best = np.lexsort((-ids[doc], -counts, word))
+    word, doc, counts = word[best], doc[best], counts[best]
+    first = np.searchsorted(word, np.arange(len(order)))
+    kept = np.arange(len(word)) - first[word] < bucket_size
+    names = coded.dictionary.take(pa.array(order[word[kept]]))
+    out = pa.RecordBatch.from_arrays([names, pa.array(ids[doc[kept]]), pa.array(counts[kept].astype(np.int16))], ["ngram", "query_id", "score"])
+    return out.filter(pc.not_equal(names, ""))
+
+
+def counted_words(docs: DataFrame, bucket_size: int) -> DataFrame:
+    """ngram, query_id and score: how often each word, between blanks, is in each text (doc_id, text;
+    an id has one row), up to 255. Of a block of BLOCK_BYTES at most the ``bucket_size`` best of a
+    word are returned, which are all that ``cap`` can keep of it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column("doc_id").to_numpy().astype(np.int64), b.column("text")
+            block = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // BLOCK_BYTES
+            ends = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(ids)]
+            for low, high in zip(ends, ends[1:]):
+                if low < high:
+                    yield _best_of_block(ids[low:high], texts.slice(low, high - low), bucket_size)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "ngram string, query_id bigint, score smallint")
+
+
 def limit_pushed(spark: SparkSession, bucket_size: int = BUCKET_SIZE) -> None:
     name = "spark.sql.optimizer.windowGroupLimitThreshold"
     if int(spark.conf.get(name)) < bucket_size:

@@ -162,9 +162,18 @@ def _doc_postings(spark, sf) -> DataFrame:
     return counted.select(F.col("word").alias("ngram"), F.col("doc_id").alias("query_id"), F.least(F.col("n"), F.lit(255)).cast("long").alias("score"))
 
 
+def _capped_doc_postings(spark, sf) -> DataFrame:
+    """The capped lists of ``_doc_postings``. Where a document is one row, its words are counted where
+    it is read, and of a block of documents only the best postings of each word travel on."""
+    if T.docs_are_rows(spark, sf):
+        counted = I.counted_words(T.normal_texts(spark, sf), T.DOC_CAP)
+        return I.cap(counted.select("ngram", "query_id", F.col("score").cast("long").alias("score")), T.DOC_CAP)
+    return I.cap(_doc_postings(spark, sf), T.DOC_CAP)
+
+
 @query
 def inverted_index_capped(spark, sf):
-    return I.cap(_doc_postings(spark, sf), T.DOC_CAP)
+    return _capped_doc_postings(spark, sf)
 
 
 @query

@@ -114,15 +114,24 @@ def _words(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(F.split(normal, " ")).alias("word")).where("word <> ''")
 
 
+def docs_are_rows(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether each document is one row, and has an id."""
+    ids = read(spark, sf_dir, "documents").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return not ids.where("n > 1 or doc_id is null").limit(1).count()
+
+
+def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of the documents, normalised."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.normalize(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word and df. A document's words are made distinct where it is read, so only counts travel;
     a document that stands in several rows counts once."""
-    docs = read(spark, sf_dir, "documents")
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        words = doc_words(spark, sf_dir).distinct()
+    if docs_are_rows(spark, sf_dir):
+        words = normal_texts(spark, sf_dir).select(F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
     else:
-        normal = text.normalize(F.coalesce("text", F.lit("")))
-        words = docs.select(F.explode(F.array_distinct(F.split(normal, " "))).alias("word")).where("word <> ''")
+        words = doc_words(spark, sf_dir).distinct()
     return words.groupBy("word").agg(F.count("*").alias("df"))
 
 
