@@ -178,7 +178,7 @@ def inverted_index_capped(spark, sf):
 
 @query
 def posting_lengths(spark, sf):
-    return I.dictionary(I.cap(_doc_postings(spark, sf), T.DOC_CAP))
+    return I.dictionary(_capped_doc_postings(spark, sf))
 
 
 @query
